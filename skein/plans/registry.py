@@ -2,8 +2,17 @@
 
 from __future__ import annotations
 
-from skein.plans import training_data
+from pyspark.sql import DataFrame, SparkSession
 
-MODULES = [training_data]
+from skein.operators import profiles
+from skein.plans import profile_queries, record_queries, training_data
+
+MODULES = [profile_queries, record_queries, training_data]
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE = {k: v for m in MODULES for k, v in m.ORACLE.items()}
+
+
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slices by (segment, quarter), the coarse form that has ready slices in the smallest data too."""
+    records = profile_queries.postings(spark, sf_dir)
+    return profiles.slices(records, ["family", "period"], "o_orderkey", "o_totalprice", "o_orderdate")
