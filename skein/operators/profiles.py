@@ -14,9 +14,13 @@ def sample_status(n: Column) -> Column:
 
 
 def slices(records: DataFrame, keys: list[str], record: str, measure: str, time: str) -> DataFrame:
-    """Per slice: n, status, mean of ``measure``, first and last ``time``."""
+    """Per slice: n, status, mean of ``measure``, first and last ``time``.
+
+    The mean is of whole hundredths, cut to hundredths: sums of integers do not depend on their order.
+    """
+    mean = F.floor(F.sum(F.round(F.col(measure) * 100).cast("bigint")) / F.count(measure)) / 100.0
     out = records.groupBy(*keys).agg(
-        F.count_distinct(record).alias("n"), F.round(F.sum(F.col(measure).cast("decimal(18,2)")).cast("double") / F.count(measure), 2).alias("mean_measure"), F.min(time).alias("first_at"), F.max(time).alias("last_at")
+        F.count_distinct(record).alias("n"), mean.alias("mean_measure"), F.min(time).alias("first_at"), F.max(time).alias("last_at")
     )
     return out.withColumn("status", sample_status(F.col("n")))
 

@@ -52,7 +52,7 @@ EVOLVED = RATES + """, ready AS (SELECT family, level, qi FROM n WHERE n >= 20),
   WHEN before >= 0.05 AND after >= 0.05 AND abs(round(after - before, 6)) >= 0.10 THEN 'modified' ELSE 'none' END AS change FROM e)"""
 
 
-@query(P + " SELECT family, level, period, count(*) AS n, round(avg(o_totalprice::DECIMAL(18,2)), 2) AS mean_measure, min(o_orderdate) AS first_at, max(o_orderdate) AS last_at, CASE WHEN count(*) < 10 THEN 'insufficient' WHEN count(*) < 20 THEN 'low_sample' ELSE 'ready' END AS status FROM p GROUP BY family, level, period")
+@query(P + " SELECT family, level, period, count(*) AS n, (sum(round(o_totalprice * 100)::BIGINT) // count(*))::DOUBLE / 100 AS mean_measure, min(o_orderdate) AS first_at, max(o_orderdate) AS last_at, CASE WHEN count(*) < 10 THEN 'insufficient' WHEN count(*) < 20 THEN 'low_sample' ELSE 'ready' END AS status FROM p GROUP BY family, level, period")
 def quarterly_profiles(s, d):
     return profiles.slices(postings(s, d), ["family", "level", "period"], "o_orderkey", "o_totalprice", "o_orderdate")
 
@@ -101,7 +101,7 @@ def yearly_window_evolution(s, d):
 
 @query(P + """, f AS (SELECT family, skill, o_orderkey, max(1 - l_discount) AS conf, max(l_returnflag = 'R') AS req, any_value(o_custkey) AS cust FROM p JOIN l USING (o_orderkey) GROUP BY family, skill, o_orderkey),
  n AS (SELECT family, count(*) AS total FROM p GROUP BY family), k AS (SELECT family, skill, count(DISTINCT s_nationkey) AS sources FROM p JOIN l USING (o_orderkey) JOIN supplier ON l_suppkey = s_suppkey GROUP BY family, skill)
- SELECT family, skill, count(*) AS evidence, round(count(*) / any_value(total), 4) AS rate, count(DISTINCT cust) AS companies, round(avg(conf), 4) AS confidence, round(avg(req::INT), 4) AS required_ratio,
+ SELECT family, skill, count(*) AS evidence, round(count(*) / any_value(total), 4) AS rate, count(DISTINCT cust) AS companies, (sum(round(conf * 10000)::BIGINT) // count(*))::DOUBLE / 10000 AS confidence, round(avg(req::INT), 4) AS required_ratio,
   CASE WHEN avg(req::INT) >= 0.5 THEN 'required' ELSE 'preferred' END AS requirement, any_value(sources) >= 3 AS cross_source FROM f JOIN n USING (family) JOIN k USING (family, skill) GROUP BY family, skill""")
 def skill_evidence(s, d):
     p, li = postings(s, d), links(s, d)
@@ -111,9 +111,9 @@ def skill_evidence(s, d):
     )
     total = p.groupBy("family").agg(F.count("*").alias("total"))
     sources = joined.join(table(s, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).groupBy("family", "skill").agg(F.count_distinct("s_nationkey").alias("sources"))
-    g = first.groupBy("family", "skill").agg(F.count("*").alias("evidence"), F.count_distinct("cust").alias("companies"), F.avg("conf").alias("c"), F.avg("req").alias("r"))
+    g = first.groupBy("family", "skill").agg(F.count("*").alias("evidence"), F.count_distinct("cust").alias("companies"), (F.floor(F.sum(F.round(F.col("conf") * 10000).cast("bigint")) / F.count("*")) / 10000.0).alias("c"), F.avg("req").alias("r"))
     return g.join(total, "family").join(sources, ["family", "skill"]).select(
-        "family", "skill", "evidence", F.round(F.col("evidence") / F.col("total"), 4).alias("rate"), "companies", F.round("c", 4).alias("confidence"),
+        "family", "skill", "evidence", F.round(F.col("evidence") / F.col("total"), 4).alias("rate"), "companies", F.col("c").alias("confidence"),
         F.round("r", 4).alias("required_ratio"), F.when(F.col("r") >= 0.5, "required").otherwise("preferred").alias("requirement"), (F.col("sources") >= 3).alias("cross_source"),
     )
 
