@@ -48,11 +48,10 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     around = {"job_title_raw": sorted({r["city"] for r in places}), "region": sorted({r["province"] for r in places})}
     mapped = None
     for field, reference in surfaces(spark, sf_dir).items():
-        m = canonical.match(
+        m = materialise(canonical.match(
             jobs.select(F.col(field).alias("value")), reference, "place" if field == "region" else "text", around.get(field)
-        ).select(F.lit(field).alias("field"), "value", "ref_id")
+        ).select(F.lit(field).alias("field"), "value", "ref_id"), "mapped")
         mapped = m if mapped is None else mapped.unionByName(m)
-    mapped = materialise(mapped, "mapped")
     typed = jobs.select("row_id", F.explode(F.create_map(*[x for f in surfaces(spark, sf_dir) for x in (F.lit(f), F.col(f))])).alias("field", "value"))
     return typed.where("value IS NOT NULL").join(mapped, ["field", "value"]).select("row_id", "field", "ref_id")
 
