@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from skein.functions.plan import settled
 from skein.functions.text import narrow, squeeze
+from skein.session import materialise
 
 #: The classifier is fitted on at most so many labelled records, those of the lowest hash.
 TRAIN_ROWS = 6000
@@ -93,16 +94,21 @@ def read(df: DataFrame) -> DataFrame:
     first, second = of(F.when(two, got(pair, 2)).otherwise(got(_NUM, 2))), of(F.when(two, got(pair, 4)).otherwise(got(_NUM, 2)))
     given = F.col("low").isNotNull() | F.col("high").isNotNull()
     unit = scale(F.col("__unit"))
-    said = F.array_join(F.transform("other", lambda x: F.upper(squeeze(narrow(x)))), "\n")
-    d = d.withColumn("__e", F.nullif(F.regexp_extract(said, _EVIDENCE, 1), F.lit("")))
-    return settled(d, ["table_name", "row_key"], {
+    d = settled(d, ["table_name", "row_key", "other"], {
         "lo": F.when(given, F.coalesce("low", "high")).otherwise(lo), "hi": F.when(given, F.coalesce("high", "low")).otherwise(hi),
         "lo_scale": F.when(given, unit).otherwise(F.coalesce(first, second)), "hi_scale": F.when(given, unit).otherwise(F.coalesce(second, first)),
         "period": period(F.col("__u")), "currency": currency(F.col("__u")),
         "stated": F.coalesce(F.col("__u").rlike(r"[万千KW分元¥￥€$年月天日时]|USD|HKD|EUR|RMB|CNY|/MO|/YR"), F.lit(False)),
-        "ev_scale": F.when(F.col("__e").isNotNull(), F.coalesce(scale(F.col("__e")), F.lit("1"))),
-        "ev_period": F.when(F.col("__e").isNotNull(), F.coalesce(period(F.col("__e")), F.lit("month"))),
     })
+    # The other text is searched only where the figure itself names no unit.
+    said = F.array_join(F.transform("other", lambda x: F.upper(squeeze(narrow(x)))), "\n")
+    found = F.when(F.col("lo").isNotNull() & ~F.col("stated"), F.nullif(F.regexp_extract(said, _EVIDENCE, 1), F.lit("")))
+    kept = [c for c in d.columns if c != "other"]
+    d = settled(d, kept, {"__e": found})
+    e = F.col("__e")
+    return d.select(
+        *kept, F.when(e.isNotNull(), F.coalesce(scale(e), F.lit("1"))).alias("ev_scale"), F.when(e.isNotNull(), F.coalesce(period(e), F.lit("month"))).alias("ev_period")
+    )
 
 
 def _unit_index(s: Column, p: Column) -> Column:
@@ -170,7 +176,7 @@ def _confidence(d: DataFrame) -> DataFrame:
 def to_monthly(df: DataFrame, pay_unit: DataFrame) -> DataFrame:
     """Every record with ``decision`` (converted, review, none), ``low_yuan``, ``high_yuan``, and for
     bare figures ``predicted`` (scale|period) and ``confidence``."""
-    d = read(df)
+    d = materialise(read(df), "pay")
     has = F.col("lo").isNotNull()
     explicit = d.where(has & F.col("stated"))
     bare = d.where(has & ~F.col("stated"))
