@@ -2,9 +2,9 @@
 
 Items and documents are cut into word shingles: ``WORDS`` words, or ``CHARS`` characters of Han text. Each
 shingle weighs the less the more documents have it, so that common phrases count for little. An
-item's shingles are ordered by rarity; a document that holds the wanted share of an item's weight must
-hold one of its prefix, the rarest shingles that together exceed the rest. Only pairs that meet there
-are verified: the document is cut into windows of the item's size, windows with next to nothing of
+item's shingles are ordered by rarity, and the commonest, with REST of its weight, are left out of the
+join: a document that holds the wanted share of an item must hold all but REST of that share in the
+prefix that remains. Only pairs that reach this bound are verified: the document is cut into windows of the item's size, windows with next to nothing of
 the item are set aside (one shared sentence is no leak), and the share of the item's weight found in the
 other windows decides. Single exchanged words break the shingles across them only.
 
@@ -34,6 +34,8 @@ SHARE = 0.34
 WINDOW_SHARE = 0.08
 #: The document frequency, as a share of all documents, at which a shingle's weight has halved.
 COMMON = 0.003
+#: Share of an item's weight, its commonest shingles, that is left out of the prefix join.
+REST = 0.1
 
 _MARKUP = re.compile(r"<[^>\n]{0,40}>|&[a-zA-Z#0-9]{1,8};|[​‌‍﻿]")
 _TOKEN = re.compile(r"[a-z0-9]+|[㐀-鿿]|[^\W_a-z0-9㐀-鿿]+")
@@ -75,9 +77,11 @@ def find_leaks(docs: DataFrame, items: DataFrame, share: float = SHARE) -> DataF
     rarest = whole.orderBy("df", "h").rowsBetween(Window.unboundedPreceding, -1)
     weighed = wanted.join(weight, "h", "left").fillna({"df": 0, "w": 1.0})
     weighed = materialise(weighed.withColumns({"total": F.sum("w").over(whole), "before": F.coalesce(F.sum("w").over(rarest), F.lit(0.0))}), "weighed")
-    prefix = weighed.where(F.col("before") <= (1 - share) * F.col("total")).select("item_id", "h")
-    pairs = hits.select("doc_id", "h").distinct().join(prefix, "h").select("doc_id", "item_id").distinct()
-    # Length bound: what a document holds of all items together must reach the item's share.
+    # The prefix leaves out REST of the weight at most, so a document with the wanted share of an item
+    # holds at least share - REST of it in prefix shingles.
+    prefix = weighed.where(F.col("before") <= (1 - REST) * F.col("total")).select("item_id", "h", "w", "total")
+    met = hits.select("doc_id", "h").distinct().join(prefix, "h").groupBy("doc_id", "item_id").agg((F.sum("w") / F.max("total")).alias("held"))
+    pairs = materialise(met.where(F.col("held") >= share - REST).select("doc_id", "item_id"), "pairs")
     found_in = hits.join(pairs, "doc_id").join(weighed.select("item_id", "h", "w", "size", "total"), ["item_id", "h"])
     # Positional bound: two sets of item-sized windows, half a window apart.
     windows = found_in.select(
