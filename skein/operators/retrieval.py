@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.session import materialise
+
+_OTHER, _JOINING = re.compile(r"[\s\W_]+"), re.compile("[和及与]")
+
 
 def occurrences(text: Column, token: str) -> Column:
     """Non-overlapping occurrences of a literal."""
@@ -36,20 +45,76 @@ def hamming_pairs(df: DataFrame, key: str, block: str, bits: str, most: int = 8,
     """Pairs (a, b) within a block whose signatures differ in at most ``most`` bits, exactly.
 
     Of most + 1 bands of bits at least one is equal in such a pair, so pairs meet in an equi-join on
-    (block, band, value) instead of all against all; equal signatures are collapsed first, and
-    pairs are emitted between distinct signatures only, named by their first key.
+    (block, band, value) instead of all against all, and count where the first of their equal bands
+    meets; equal signatures are collapsed first, and pairs are emitted between distinct signatures
+    only, named by their first key (``representatives`` has the copies of each).
     """
-    distinct = df.groupBy(block, bits).agg(F.min(key).alias("first"), F.count("*").alias("copies"))
-    step = -(-width // (most + 1))
-    bands = F.array(*[
-        F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(F.shiftleft(bits, max(0, width - (i + 1) * step)), max(0, width - (i + 1) * step) + i * step).alias("value"))
-        for i in range(most + 1) if i * step < width
-    ])
+    distinct = representatives(df, key, block, bits)
+    ends = [i * width // (most + 1) for i in range(most + 2)]
+    masks = [((1 << hi) - (1 << lo)) - (1 << 64 if hi == 64 else 0) for lo, hi in zip(ends, ends[1:], strict=False)]
+    common = lambda c, m: c.bitwiseAND(F.lit(m).cast("bigint"))
+    bands = F.array(*[F.struct(F.lit(i).alias("band"), common(F.col(bits), m).alias("value")) for i, m in enumerate(masks)])
     cut = distinct.select(block, bits, "first", F.inline(bands))
     a = cut.select(block, "band", "value", F.col("first").alias("a"), F.col(bits).alias("bits_a"))
     b = cut.select(block, "band", "value", F.col("first").alias("b"), F.col(bits).alias("bits_b"))
-    near = a.join(b, [block, "band", "value"]).where("a < b").withColumn("distance", F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b"))))
-    return near.where(F.col("distance") <= most).select(block, "a", "b", "distance").distinct()
+    differ = F.col("bits_a").bitwiseXOR(F.col("bits_b"))
+    met = F.coalesce(*[F.when(common(differ, m) == 0, i) for i, m in enumerate(masks)])
+    near = a.join(b, [block, "band", "value"]).where("a < b").withColumn("distance", F.bit_count(differ))
+    return near.where((F.col("distance") <= most) & (met == F.col("band"))).select(block, "a", "b", "distance")
+
+
+def representatives(df: DataFrame, key: str, block: str, bits: str) -> DataFrame:
+    """(block, bits, first, copies): the first key of each signature of a block and how many have it."""
+    return df.groupBy(block, bits).agg(F.min(key).alias("first"), F.count("*").alias("copies"))
+
+
+def simhash64(text: Column) -> Column:
+    """64-bit signature over character bigrams as a bigint, null for null.
+
+    Letters and digits of the lower-case text, without 和, 及 and 与; each bigram votes by its
+    BLAKE2b-64, and a bit is set where the votes are not negative. No letters give 0.
+    """
+
+    @F.pandas_udf("bigint")
+    def run(texts: pd.Series) -> pd.Series:
+        out = pd.Series([None] * len(texts), index=texts.index, dtype="Int64")
+        seen: dict[str, int] = {}
+        votes = np.zeros((0, 64), np.int8)
+        filled = texts[texts.notna()]
+        for at in range(0, len(filled), 128):
+            part = filled.iloc[at : at + 128]
+            plain = [_JOINING.sub("", _OTHER.sub("", t.lower())) for t in part]
+            grams = [[t[i : i + 2] for i in range(max(1, len(t) - 1))] for t in plain]
+            fresh = list(dict.fromkeys(g for each in grams for g in each if g not in seen))
+            if fresh:
+                hashed = b"".join(hashlib.blake2b(g.encode("utf-8"), digest_size=8).digest() for g in fresh)
+                bits = np.unpackbits(np.frombuffer(hashed, np.uint8).reshape(-1, 8), axis=1)
+                seen |= {g: len(votes) + i for i, g in enumerate(fresh)}
+                votes = np.concatenate([votes, bits.astype(np.int8) * 2 - 1])
+            starts = np.cumsum([0] + [len(g) for g in grams[:-1]])
+            total = np.add.reduceat(votes[[seen[g] for each in grams for g in each]], starts, axis=0, dtype=np.int32)
+            total[[not t for t in plain]] = -1
+            out[part.index] = np.packbits(total >= 0, axis=1).view(">i8").ravel().astype(np.int64)
+        return out
+
+    return run(text)
+
+
+def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+    """(key, first): the least key of each key's component, for keys other than it; ``edges`` has (a, b)."""
+    e = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    for _ in range(rounds):
+        # Large star, then small star: neighbours are hooked to the least key they can see.
+        sides = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = sides.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        large = sides.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(low.select("a", F.col("m").alias("b"))).distinct()
+        nxt = materialise(small, "edges")
+        if nxt.exceptAll(e).isEmpty() and e.exceptAll(nxt).isEmpty():
+            return e.select(F.col("a").alias("key"), F.col("b").alias("first"))
+        e = nxt
+    raise RuntimeError(f"components not settled in {rounds} rounds")
 
 
 def rank_within(df: DataFrame, keys: list[str], *order: Column, name: str = "rank") -> DataFrame:

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.functions.dates import ntz_seconds
-from skein.operators import profiles, retrieval
+from skein.operators import instants, profiles, retrieval
+from skein.session import materialise
 from skein.sources.jsonlines import parse_lines
 from skein.sources.tables import table
 from skein.streaming.observations import latest_by_stream
@@ -28,6 +29,9 @@ def query(sql: str | None = None):
     return add
 
 
+FILLED = ("company_name", "industry", "region", "published_at", "experience_requirement", "education_requirement", "salary_range", "source_url")
+
+
 def docs(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "documents")
 
@@ -154,6 +158,38 @@ def simhash_pairs(s, d):
     return retrieval.hamming_pairs(e, "vec_id", "label", "bits").select("label", "a", "b", "distance")
 
 
+def signed_jobs(s: SparkSession, d: str) -> DataFrame:
+    """(row_id, family, bits) of the postings with a text; rows without a family are one family."""
+    j = table(s, d, "jobs").where("job_description_raw IS NOT NULL")
+    family = F.coalesce(F.concat(F.lit("="), "job_family_id"), F.lit(""))
+    return j.select("row_id", family.alias("family"), retrieval.simhash64(F.col("job_description_raw")).alias("bits"))
+
+
+@query()
+def text_simhash_pairs(s, d):
+    """Pairs of signatures of texts within 8 bits in a family, each named by its first row; equal ones are in text_simhash_clusters."""
+    signed = materialise(signed_jobs(s, d), "signed")
+    near = retrieval.hamming_pairs(signed, "row_id", "family", "bits")
+    return near.select(F.nullif(F.substring("family", 2, 1 << 30), F.lit("")).alias("family"), "a", "b", "distance")
+
+
+@query()
+def text_simhash_clusters(s, d):
+    """Every row of a cluster of near or equal texts of a family, with the cluster's master: the best
+    by score, filled fields, time of publication and least row. ``first`` names the row's signature in
+    text_simhash_pairs."""
+    signed = materialise(signed_jobs(s, d), "signed")
+    near = materialise(retrieval.hamming_pairs(signed, "row_id", "family", "bits").select("a", "b"), "near")
+    roots = retrieval.components(near).select(F.col("key").alias("first"), F.col("first").alias("root"))
+    named = signed.join(retrieval.representatives(signed, "row_id", "family", "bits"), ["family", "bits"]).join(roots, "first", "left")
+    held = named.select("row_id", "first", F.coalesce("root", "first").alias("root"))
+    filled = reduce(lambda a, b: a + b, [F.coalesce((F.col(c) != "").cast("int"), F.lit(0)) for c in FILLED])
+    at = instants.to_instants(table(s, d, "jobs").select("row_id", "quality_score", *FILLED, "site_zone"), "published_at", "site_zone")
+    worth = F.struct(F.coalesce("quality_score", F.lit(0.0)), filled, F.coalesce("epoch_ms", F.lit(0).cast("bigint")), -F.col("row_id")).alias("worth")
+    best = held.join(at.select("row_id", worth), "row_id").groupBy("root").agg(F.max_by("row_id", "worth").alias("master"), F.count("*").alias("members")).where("members > 1")
+    return held.join(best, "root").select("row_id", "first", "master", "members")
+
+
 @query("SELECT user_id, event_id, ts, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
 def latest_observation(s, d):
     return profiles.latest(table(s, d, "events"), ["user_id"], F.desc("ts"), F.desc("event_id")).select("user_id", "event_id", "ts", "event_type")
