@@ -20,6 +20,19 @@ def occurrences(text: Column, token: str) -> Column:
     return ((F.length(text) - F.length(F.replace(text, F.lit(token), F.lit("")))) / len(token)).cast("int")
 
 
+STOP_TOKENS = ["哪些", "什么", "需要", "要求", "负责", "相关", "能力", "岗位"]
+
+
+def lexical_tokens(text: Column) -> Column:
+    """Distinct tokens, longest first, then by code point: ASCII runs in lower case and every piece of 2 to 6
+    characters of a Chinese run, without STOP_TOKENS."""
+    runs = F.transform(F.regexp_extract_all(text, F.lit("[A-Za-z0-9+#./-]+"), F.lit(0)), F.lower)
+    # A look-ahead consumes nothing, so pieces are found at every character.
+    pieces = [F.regexp_extract_all(text, F.lit(f"(?=([\\x{{4e00}}-\\x{{9fff}}]{{{n}}}))"), F.lit(1)) for n in range(2, 7)]
+    kept = F.array_except(F.concat(runs, *pieces), F.array(*[F.lit(t) for t in STOP_TOKENS]))
+    return F.transform(F.array_sort(F.transform(kept, lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t")))), lambda x: x["t"])
+
+
 def lexical_score(text: Column, tokens: list[str]) -> Column:
     """Over the query tokens present: 1 + 0.1 for each occurrence."""
     score = F.lit(0.0)

@@ -386,6 +386,16 @@ def lexical_tokens(s, d):
     return docs(s, d).where("text IS NOT NULL").select("doc_id", t.alias("t")).where("size(t) > 0").select("doc_id", F.array_min("t").alias("first_token"), F.size("t").alias("tokens"))
 
 
+_STOPS = ", ".join(f"'{t}'" for t in retrieval.STOP_TOKENS)
+
+
+@query(f"""WITH r AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z0-9+#./-]+') AS words, regexp_extract_all(text, '[\\x{{4e00}}-\\x{{9fff}}]{{2,}}') AS runs FROM documents WHERE text IS NOT NULL),
+ p AS (SELECT doc_id, list_concat(list_transform(words, lambda w: lower(w)), flatten(list_transform(runs, lambda r: flatten(list_transform(range(2, least(6, length(r)) + 1), lambda n: list_transform(range(1, length(r) - n + 2), lambda i: substring(r, i, n))))))) AS t FROM r),
+ k AS (SELECT doc_id, list_distinct(list_filter(t, lambda x: x NOT IN ({_STOPS}))) AS t FROM p) SELECT doc_id, list_transform(list_sort(list_transform(t, lambda x: {{'n': -length(x), 't': x}})), lambda x: x.t) AS tokens FROM k""")
+def lexical_tokens_cjk(s, d):
+    return docs(s, d).where("text IS NOT NULL").select("doc_id", retrieval.lexical_tokens(F.col("text")).alias("tokens"))
+
+
 @query("""WITH c AS (SELECT f.job_family_id AS family, count(j.row_id) AS have FROM job_family f LEFT JOIN jobs j ON j.job_family_id = f.job_family_id GROUP BY f.job_family_id), t AS (SELECT family, have, greatest(0, 150 - have) AS deficit FROM c)
  SELECT family, have, deficit, least(deficit, greatest(0, 500 - coalesce(sum(deficit) OVER (ORDER BY have, family ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)))::BIGINT AS planned FROM t""")
 def deficit_schedule(s, d):

@@ -73,3 +73,17 @@ def test_text_simhash_clusters_against_all_pairs(spark):
     assert all(m in c for m, c in got.items())
     score = {r.row_id: r.quality_score or 0.0 for r in spark.read.parquet(f"{sf}/jobs.parquet").collect()}
     assert all(score[m] == max(score[i] for i in c) for m, c in got.items())
+
+
+def test_lexical_tokens_of_chinese_runs(spark):
+    texts = ["负责推荐系统", "熟悉Python/C++与数据仓库", "好", "", "岗位要求：熟悉 K8s", "\u212a8s 数据，数据", "——"]
+
+    def plain(text):
+        out = set()
+        for run in re.findall(r"[A-Za-z0-9+#./-]+|[\u4e00-\u9fff]{2,}", text):
+            out |= {run.lower()} if run.isascii() else {run[i : i + n] for n in range(2, 7) for i in range(len(run) - n + 1)}
+        return sorted(out - set(retrieval.STOP_TOKENS), key=lambda t: (-len(t), t))
+
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [r.x for r in df.select("i", retrieval.lexical_tokens(F.col("t")).alias("x")).orderBy("i").collect()]
+    assert got == [plain(t) for t in texts] and "推荐系统" in got[0] and "负责" not in got[0]
