@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.functions.dates import ntz_seconds
+from skein.functions.text import without_contacts
 from skein.operators import instants, profiles, retrieval
 from skein.session import materialise
 from skein.sources.jsonlines import parse_lines
@@ -150,6 +151,22 @@ def cosine_topk(s, d):
     return retrieval.rank_within(scored, ["query_id"], F.desc("score"), F.asc("vec_id")).where("rank <= 5").select("query_id", "vec_id", "score")
 
 
+_HYBRID = f"coalesce(CASE WHEN text IS NOT NULL THEN {_SCORE} END, 0)"
+
+
+@query(f"""WITH q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0), e AS (SELECT vec_id, {_COS} AS cosine FROM (SELECT vec_id, embedding::DOUBLE[] AS embedding FROM embeddings), q),
+ x AS (SELECT doc_id, {_HYBRID} AS lexical, coalesce(cosine, 0) AS cosine FROM documents LEFT JOIN e ON doc_id = vec_id)
+ SELECT doc_id, round(lexical + cosine, 6) AS score FROM x WHERE lexical > 0 OR cosine > 0 ORDER BY score DESC, doc_id LIMIT 50""")
+def hybrid_topk(s, d):
+    """Lexical score plus cosine to the query's vector, that of vec_id 0; a document has the vector of its number, or none."""
+    e = table(s, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    q = e.where("vec_id = 0").select(F.col("embedding").alias("q"))
+    scored = e.join(F.broadcast(q)).select(F.col("vec_id").alias("doc_id"), retrieval.cosine(F.col("embedding"), F.col("q")).alias("cosine"))
+    x = docs(s, d).select("doc_id", F.coalesce(retrieval.lexical_score(F.lower("text"), TOKENS), F.lit(0.0)).alias("lexical")).join(scored, "doc_id", "left").fillna({"cosine": 0.0})
+    x = x.where("lexical > 0 OR cosine > 0").select("doc_id", F.round(F.col("lexical") + F.col("cosine"), 6).alias("score"))
+    return x.orderBy(F.desc("score"), "doc_id").limit(50)
+
+
 @query("""WITH x AS (SELECT vec_id, label, list_sum(list_transform(range(1, 65), lambda i: CASE WHEN embedding[i] >= 0 AND i < 64 THEN 1::BIGINT << (i - 1) ELSE 0 END))::BIGINT AS bits FROM embeddings), y AS (SELECT label, bits, min(vec_id) AS first FROM x GROUP BY label, bits)
  SELECT a.label, a.first AS a, b.first AS b, bit_count(xor(a.bits, b.bits))::INT AS distance FROM y a JOIN y b ON a.label = b.label AND a.first < b.first WHERE bit_count(xor(a.bits, b.bits)) <= 8""")
 def simhash_pairs(s, d):
@@ -275,6 +292,12 @@ def pii_redaction(s, d):
     return docs(s, d).where("text IS NOT NULL").select("doc_id", F.md5(clean).alias("h"))
 
 
+@query()
+def contact_redaction(s, d):
+    """Texts without contact lines, contact fragments, e-mail addresses and phone numbers."""
+    return docs(s, d).where("text IS NOT NULL").select("doc_id", without_contacts(F.col("text")).alias("text"))
+
+
 @query("""WITH x AS (SELECT row_id, lower(regexp_extract(source_url, '^(?i:(https?))://([^/?#:]+)', 2)) AS host, lower(regexp_extract(source_url, '^(?i:(https?))://', 1)) AS scheme, regexp_extract(source_url, '^[^:]+://[^/?#]+([^?#]*)', 1) AS path, regexp_extract(source_url, '\\?([^#]*)', 1) AS q FROM jobs
  WHERE regexp_matches(source_url, '^(?i:https?)://[^/]+')) SELECT row_id, scheme || '://' || rtrim(host, '.') || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN q = '' THEN '' ELSE '?' || array_to_string(list_sort(string_split(q, '&')), '&') END AS url FROM x""")
 def url_canonical(s, d):

@@ -4,6 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from skein.functions.text import without_contacts
 from skein.operators import retrieval
 from skein.plans import record_queries
 
@@ -87,3 +88,22 @@ def test_lexical_tokens_of_chinese_runs(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     got = [r.x for r in df.select("i", retrieval.lexical_tokens(F.col("t")).alias("x")).orderBy("i").collect()]
     assert got == [plain(t) for t in texts] and "推荐系统" in got[0] and "负责" not in got[0]
+
+
+def test_contacts_are_redacted(spark):
+    label = "(?:联系人|联系电话|联系地址|通讯地址|详细地址|电子邮箱|邮箱|电话|手机|联系方式)"
+
+    def plain(text):
+        lines = [x for x in text.split("\n") if not re.match(rf"^\s*{label}\s*[:：]", x)]
+        for p in (rf"{label}\s*[:：].*$", r"(?<![\w.+-])[\w.+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}(?![\w.-])", r"(?<!\d)1[3-9]\d{9}(?!\d)", r"(?<!\d)0\d{2,3}[- ]?\d{7,8}(?!\d)"):
+            lines = [re.sub(p, "[REDACTED]", x) for x in lines]
+        return re.sub(r"\n[ \t]*\n(?:[ \t]*\n)+", "\n\n", "\n".join(lines).strip(" \t\n"))
+
+    texts = [
+        "岗位职责\n联系人：王老师\n　电话 : 010-12345678\n\n\n\n要求", "投递请联系电话：021 87654321 王\r\n其他", "有意者致电13812345678或 0571-88888888。", "邮箱a.b+c@example.com.cn，王@x.org", "编号213812345678901 与 ２０２５",
+        "", "\n\n", "联系方式\n：不是一行", "mail x@y.z1 or x@y.zz-", "电话：\r尾\u2028巴", "a\n \n\t\nb", "x_王é@ab.co\n010 1234567 8",
+    ]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [r.x for r in df.select("i", without_contacts(F.col("t")).alias("x")).orderBy("i").collect()]
+    assert got == [plain(t) for t in texts]
+    assert got[0] == "岗位职责\n\n要求" and got[2] == "有意者致电[REDACTED]或 [REDACTED]。"
