@@ -203,6 +203,26 @@ def test_graph_recall_against_exhaustive_search():
     assert len(found) >= 0.9 * 3000
 
 
+def test_a_row_behind_nearer_ones_is_still_a_candidate():
+    import pandas as pd
+
+    def flipped(row, k):
+        bits = np.unpackbits(row.view(np.uint8))
+        bits[:k] ^= 1
+        return np.packbits(bits).view(np.uint64)
+
+    rng = np.random.default_rng(4)
+    sig = rng.integers(0, 2**64, (1200, 4), dtype=np.uint64)
+    for query in (8, 1199):  # in the block of its near rows, and in a later one
+        sig[0] = flipped(sig[query], 30)
+        sig[1:7] = [flipped(sig[query], k) for k in range(1, 7)]
+        out = history.build(pd.DataFrame({"lane": 0, "segment": 1, "row_id": np.arange(1200)} | {f"s{k}": sig.view(np.int64)[:, k] for k in range(4)}))
+        assert {o for r, o in zip(out["row_id"], out["other"], strict=True) if not pd.isna(r) and r == query} == set(range(7))
+    later = history.pack(np.array([5000]), sig[1199:], np.full((1, history.DEGREE), -1))
+    met = history.visit(pd.DataFrame({"shard": [out["shard"].iloc[0]], "later": [later]}))
+    assert set(met["other"]) == {*range(7), 1199}
+
+
 def test_first_rows(spark):
     edges = [(5, 4), (4, 3), (9, 8), (3, 1), (8, 7), (7, 6), (6, 9), (2, 2)] + [(k, k - 1) for k in range(20, 60)]
     got = {r.row_id: r["first"] for r in history.first_rows(spark.createDataFrame(edges, "row_id bigint, other bigint")).collect()}
