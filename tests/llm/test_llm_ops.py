@@ -181,15 +181,57 @@ def test_repeats(spark):
     assert history.repeats(df.limit(0)).count() == 0
 
 
-def test_batches_and_compaction_give_what_a_bulk_run_gives(spark, tmp_path):
-    rows = [(b * 100 + k, b, posting(k)[: 240 - b]) for b in range(5) for k in range(40)]
-    df = spark.createDataFrame(rows, "row_id bigint, batch_no int, canon string")
-    index = history.HistoryIndex(spark, str(tmp_path / "index"), lanes=2, every=2)
+def brute_repeats(rows):
+    """Pairs of the first and each later row of a posting, all pairs compared."""
+    canon = {r: "".join(c for c in (t or "").lower() if c.isalnum()) if t and len(t) >= 40 else "" for r, _, _, t in rows}
+    first = {r: r for r, *_ in rows}
+
+    def root(x):
+        while first[x] != x:
+            x = first[x]
+        return x
+
+    for i, (a, _, ra, _) in enumerate(rows):
+        for b, _, rb, _ in rows[:i]:
+            if (ra and ra == rb) or (len(canon[a]) > 3 and len(canon[b]) > 3 and history.similarity(canon[a], canon[b]) >= history.SIMILAR):
+                x, y = root(a), root(b)
+                first[max(x, y)] = min(x, y)
+    return {(root(r), r) for r, *_ in rows if root(r) != r}
+
+
+def test_appending_reopening_and_compacting_give_what_one_backlog_gives(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(history, "FAN", 2)
+    rng = random.Random(9)
+    rows = []
     for b in range(5):
-        near = {(r.row_id, r.other) for r in index.append(df.where(f"batch_no = {b}")).collect()}
-        if b:
-            assert {x for x, _ in near} == {b * 100 + k for k in range(40)}
-    assert index.version == 2
+        for k in range(25):
+            t = posting(rng.randrange(30))
+            t = t[: 230 - rng.randrange(10)] if rng.random() < 0.5 else t[: rng.choice([100, 150])] + posting(500 + len(rows))[:100]
+            rows.append((b * 100 + k, b, rng.choice([None, "", f"R{rng.randrange(60)}"]), rng.choice([t, t, t, None, "短"])))
+    df = spark.createDataFrame(rows, "row_id bigint, batch_no int, record_id string, description string")
+    for b in (0, 1, 2, 3, 4):
+        index = history.HistoryIndex(spark, f"file://{tmp_path}/index")  # as after a restart
+        index.append(df.where(f"batch_no = {b}"))
+    assert len(index.state["runs"]) < 5 and len(index.state["appends"]) == 5
+    got = {(r.row_id_a, r.row_id_b) for r in index.repeats().collect()}
+    bulk = history.HistoryIndex(spark, f"file://{tmp_path}/bulk")
+    bulk.append(df)
+    want = brute_repeats(rows)
+    assert got == want and {(r.row_id_a, r.row_id_b) for r in bulk.repeats().collect()} == want
+
+
+def test_crowded_shingles_name_no_lane():
+    least = np.array([[1, 2, 3, 4, 5, 6], [1, 2, 3, -1, -1, -1], [1, 2, 7, 8, 9, 10], [1, 2, -1, -1, -1, -1]], np.int64)
+    lanes = history.lanes_of(least, np.array([1, 2], np.int64))
+    assert lanes[0].tolist() == [3, 4] and lanes[2].tolist() == [7, 8]
+    assert lanes[1][0] == 3 and lanes[1][1] not in (-1, 1, 2) and lanes[3][0] not in (-1, 1, 2) and lanes[3][1] == -1
+    assert history.lanes_of(least, np.empty(0, np.int64))[0].tolist() == [1, 2]
+
+
+def test_long_tags_are_markup(spark):
+    tag = '<a href="https://x.example/' + "p" * 300 + '">'
+    df = spark.createDataFrame([(f"甲乙{tag}丙</a> 1 < 2 丁",)], "t string")
+    assert df.select(history.canonical(df.t).alias("c")).first().c == "甲乙丙12丁"
 
 
 def test_graph_recall_against_exhaustive_search():
@@ -198,7 +240,7 @@ def test_graph_recall_against_exhaustive_search():
     sig[3000:] = sig[:3000] ^ (np.uint64(1) << rng.integers(0, 64, (3000, 4), dtype=np.uint64))
     import pandas as pd
 
-    out = history.build(pd.DataFrame({"lane": 0, "segment": 1, "row_id": np.arange(6000)} | {f"s{k}": sig.view(np.int64)[:, k] for k in range(4)}))
+    out = history.build(pd.DataFrame({"bucket": 0, "segment": 0, "segments": 1, "lane": 7, "row_id": np.arange(6000)} | {f"s{k}": sig.view(np.int64)[:, k] for k in range(4)}))
     found = {r for r, o in zip(out["row_id"], out["other"], strict=True) if not pd.isna(r) and r - 3000 == o}
     assert len(found) >= 0.9 * 3000
 
@@ -216,10 +258,10 @@ def test_a_row_behind_nearer_ones_is_still_a_candidate():
     for query in (8, 1199):  # in the block of its near rows, and in a later one
         sig[0] = flipped(sig[query], 30)
         sig[1:7] = [flipped(sig[query], k) for k in range(1, 7)]
-        out = history.build(pd.DataFrame({"lane": 0, "segment": 1, "row_id": np.arange(1200)} | {f"s{k}": sig.view(np.int64)[:, k] for k in range(4)}))
+        out = history.build(pd.DataFrame({"bucket": 0, "segment": 0, "segments": 1, "lane": 7, "row_id": np.arange(1200)} | {f"s{k}": sig.view(np.int64)[:, k] for k in range(4)}))
         assert {o for r, o in zip(out["row_id"], out["other"], strict=True) if not pd.isna(r) and r == query} == set(range(7))
-    later = history.pack(np.array([5000]), sig[1199:], np.full((1, history.DEGREE), -1))
-    met = history.visit(pd.DataFrame({"shard": [out["shard"].iloc[0]], "later": [later]}))
+    later = history.pack(np.array([5000]), np.array([7]), sig[1199:], np.empty(0, np.int32))
+    met = pd.concat(history.visit(iter([pd.DataFrame({"shard": [out["shard"].iloc[0]], "later": [later]})])))
     assert set(met["other"]) == {*range(7), 1199}
 
 
