@@ -1,13 +1,15 @@
 """Encoding a corpus by a byte-level BPE vocabulary, each distinct word once.
 
-Texts are cut into pre-tokens with their positions in the JVM; the distinct pre-tokens are shuffled
-together and encoded once each; their ids are joined back and reassembled by position. Decoding joins
-the table of the tokens' bytes.
+Texts are cut into pre-tokens with their positions; the distinct pre-tokens are shuffled together and encoded
+once each; their ids are joined back and reassembled by position. Decoding joins the table of the tokens' bytes.
+
+Positions are pre-aggregated before anything is shuffled: the texts of a block (BLOCK_CHARS characters of one
+partition, or one longer text) are cut together, and a distinct word of the block is one row with all its
+positions, as packed differences. A frequent word such as a space is therefore one row per block, never a
+row per use, and no group is larger than a block.
 
 A text that is null or empty has an empty list of ids. Special tokens' strings are ordinary text.
-Repeated rows are encoded each. Long texts are cut like short ones; a frequent word such as a space or
-a comma makes a skewed join key, so positions are aggregated per document and word first, which
-leaves one row per document at most for any word, and adaptive execution splits what remains.
+Repeated rows are encoded each, and long texts whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -15,12 +17,18 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# The published pre-token pattern of byte-level BPE, with Unicode white space.
-PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+from skein.session import materialise
+
+# The published pre-token pattern of byte-level BPE.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Characters of the texts whose pre-tokens are aggregated together.
+BLOCK_CHARS = 1 << 22
 
 
 def vocabulary(name: str = "byte_bpe_50k.tiktoken") -> str:
@@ -35,6 +43,82 @@ def ranks_of(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
+def cutter():
+    """The compiled pattern, with white space as Unicode defines it."""
+    import regex
+
+    space = r"\p{White_Space}"
+    return regex.compile(PATTERN.replace(r"[^\s", rf"[^{space}").replace(r"\S", rf"\P{{White_Space}}").replace(r"\s", space), regex.V0)
+
+
+def squeeze_ints(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, bytes of each value) of non-negative integers, seven bits to a byte, low ones first."""
+    sizes = np.ones(len(values), np.int64)
+    for k in range(1, 5):
+        sizes += values >= 1 << (7 * k)
+    ends = np.cumsum(sizes)
+    out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
+    starts = ends - sizes
+    for k in range(5):
+        has = sizes > k
+        more = (sizes[has] > k + 1).astype(np.uint8) << 7
+        out[starts[has] + k] = ((values[has] >> (7 * k)) & 127).astype(np.uint8) | more
+    return out, sizes
+
+
+def spread_ints(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(values, offset of the end of each) of ``squeeze_ints``' bytes."""
+    last = np.flatnonzero(data < 128)
+    starts = np.concatenate([[0], last[:-1] + 1]) if len(last) else last
+    place = np.arange(len(data)) - np.repeat(starts, last - starts + 1)
+    parts = (data & 127).astype(np.int64) << (7 * place)
+    return (np.add.reduceat(parts, starts) if len(starts) else parts), last + 1
+
+
+def cut_blocks(df: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(block, word, at): a row per block and distinct word with its positions ``at``, and one per block with a null word,
+    whose ``at`` holds the documents' identifiers and numbers of pre-tokens."""
+
+    def block(name: int, ids: list[int], texts: list[str]) -> pd.DataFrame:
+        cut = cutter()
+        seen: dict[str, int] = {}
+        counts, spots = [], []
+        for t in texts:
+            words = cut.findall(t) if t else []
+            counts.append(len(words))
+            spots += [seen.setdefault(w, len(seen)) for w in words]
+        which = np.array(spots, np.int64)
+        order = np.argsort(which, kind="stable")
+        uses = np.bincount(which, minlength=len(seen))
+        first = np.cumsum(uses) - uses
+        steps = np.diff(order, prepend=0)
+        steps[first] = order[first]
+        data, sizes = squeeze_ints(steps)
+        ends = np.cumsum(sizes)[first + uses - 1]
+        raw = data.tobytes()
+        at = [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)] if len(seen) else []
+        docs = np.array([ids, counts], np.int64).tobytes()
+        return pd.DataFrame({"block": name, "word": [*seen, None], "at": [*at, docs]})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        number = TaskContext.get().partitionId() << 32
+        ids: list[int] = []
+        texts: list[str] = []
+        chars = 0
+        for b in batches:
+            for i, t in zip(b["doc_id"].tolist(), b["text"].tolist(), strict=True):
+                ids.append(i)
+                texts.append(t or "")
+                chars += len(texts[-1])
+                if chars >= BLOCK_CHARS:
+                    yield block(number, ids, texts)
+                    number, ids, texts, chars = number + 1, [], [], 0
+        if ids:
+            yield block(number, ids, texts)
+
+    return df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, "block bigint, word string, at binary")
+
+
 def encode_words(words: DataFrame, path: str) -> DataFrame:
     """(word, ids) of the distinct rows of ``words``; each worker loads the vocabulary once."""
 
@@ -43,25 +127,43 @@ def encode_words(words: DataFrame, path: str) -> DataFrame:
 
         encoding = tiktoken.Encoding("skein", pat_str=r"[\s\S]+", mergeable_ranks=ranks_of(path), special_tokens={})
         for b in batches:
-            yield pd.DataFrame({"word": b["word"], "ids": [encoding._encode_single_piece(w) for w in b["word"]]})
-
-    return words.mapInPandas(run, "word string, ids array<int>")
+            yield pd.DataFrame({"word": b["word"], "ids": [np.array(encoding._encode_single_piece(w), np.int32).tobytes() for w in b["word"]]})
+
+    return words.mapInPandas(run, "word string, ids binary")
+
+
+def assemble(pdf: pd.DataFrame) -> pd.DataFrame:
+    """(doc_id, ids) of one block's rows (word, at, ids)."""
+    docs = np.frombuffer(pdf.loc[pdf["word"].isna(), "at"].iloc[0], np.int64).reshape(2, -1)
+    words = pdf[pdf["word"].notna()]
+    data = np.frombuffer(b"".join(words["at"]), np.uint8)
+    steps, ends = spread_ints(data)
+    cuts = np.cumsum([len(x) for x in words["at"]])
+    owner = np.searchsorted(cuts, ends - 1, side="right")
+    # Positions are running sums that begin anew with each word.
+    total = np.cumsum(steps)
+    first = np.flatnonzero(np.diff(owner, prepend=-1))
+    at = total - np.repeat(total[first] - steps[first], np.diff(np.append(first, len(owner)))) if len(owner) else total
+    word_at = np.empty(len(at), np.int64)
+    word_at[at] = owner
+    sizes = np.array([len(x) // 4 for x in words["ids"]], np.int64)
+    pool = np.frombuffer(b"".join(words["ids"]), np.int32)
+    begins = np.cumsum(sizes) - sizes
+    each = sizes[word_at]
+    out_ends = np.cumsum(each)
+    flat = pool[np.repeat(begins[word_at] - (out_ends - each), each) + np.arange(int(out_ends[-1]) if len(out_ends) else 0)]
+    tokens_to = np.concatenate([[0], out_ends])[np.cumsum(docs[1])]
+    return pd.DataFrame({"doc_id": docs[0], "ids": np.split(flat, tokens_to[:-1])})
 
 
 def encode(df: DataFrame, doc_id: str, text: str, path: str | None = None) -> DataFrame:
     """(doc_id, ids) of every row."""
     path = path or vocabulary()
-    docs = df.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    # Repeated rows of one document stay apart by a row number of their own.
-    docs = docs.withColumn("row", F.monotonically_increasing_id())
-    cut = docs.select("doc_id", "row", F.posexplode(F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))).alias("pos", "word"))
-    spots = cut.groupBy("doc_id", "row", "word").agg(F.collect_list("pos").alias("at"))
-    ids = encode_words(spots.select("word").distinct(), path)
-    placed = spots.join(ids, "word").groupBy("doc_id", "row").agg(F.collect_list(F.struct("at", "ids")).alias("parts"))
-    spread = F.flatten(F.transform("parts", lambda p: F.transform(p["at"], lambda i: F.struct(i.alias("pos"), p["ids"].alias("ids")))))
-    full = placed.select("doc_id", F.flatten(F.transform(F.array_sort(spread), lambda x: x["ids"])).alias("ids"))
-    none = docs.where(F.length("text") == 0).select("doc_id", F.array().cast("array<int>").alias("ids"))
-    return full.unionByName(none)
+    spots = materialise(cut_blocks(df, doc_id, text), "spots")
+    ids = encode_words(spots.where("word IS NOT NULL").select("word").distinct(), path)
+    placed = spots.where("word IS NOT NULL").join(ids, "word").select("block", "word", "at", "ids")
+    docs = spots.where("word IS NULL").select("block", "word", "at", F.lit(None).cast("binary").alias("ids"))
+    return placed.unionByName(docs).groupBy("block").applyInPandas(assemble, "doc_id bigint, ids array<int>")
 
 
 def token_bytes(spark: SparkSession, path: str | None = None) -> DataFrame:
