@@ -55,31 +55,35 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-class Tokens:
+class Tokens(dict):
     """The 64-bit hashes of tokens, odd for a Han character; known ones are kept, a million at most."""
 
-    def __init__(self):
-        self.known: dict[str, int] = {}
+    def __missing__(self, t: str) -> int:
+        h = (xxhash.xxh64_intdigest(t) & ~1) | ("㐀" <= t <= "鿿")
+        self[t] = h = h - (1 << 64) if h >> 63 else h
+        return h
 
     def of(self, text: str | None) -> list[int]:
         if not text:
             return []
-        if len(self.known) > 1_000_000:
-            self.known.clear()
-        known, out = self.known, []
-        for t in _TOKEN.findall(unicodedata.normalize("NFKC", _MARKUP.sub("", text)).lower()):
-            h = known.get(t)
-            if h is None:
-                h = known[t] = (xxhash.xxh64_intdigest(t) & ~1) | ("㐀" <= t <= "鿿")
-            out.append(h)
-        return out
+        if len(self) > 1_000_000:
+            self.clear()
+        if not text.isascii():
+            text = unicodedata.normalize("NFKC", _MARKUP.sub("", text))
+        elif "<" in text or "&" in text:
+            text = _MARKUP.sub("", text)
+        return list(map(self.__getitem__, _TOKEN.findall(text.lower())))
 
 
 def shingles(texts: list[str | None], tokens: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text number, position, hash) of every shingle of the texts, in order."""
-    each = [tokens.of(t) for t in texts]
-    sizes = np.array([len(e) for e in each], np.int64)
-    t = np.fromiter((h for e in each for h in e), np.uint64, int(sizes.sum()))
+    flat: list[int] = []
+    sizes = np.empty(len(texts), np.int64)
+    for i, x in enumerate(texts):
+        at = len(flat)
+        flat += tokens.of(x)
+        sizes[i] = len(flat) - at
+    t = np.array(flat, np.int64).view(np.uint64)
     if not len(t):
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
     doc = np.repeat(np.arange(len(texts)), sizes)
@@ -173,6 +177,25 @@ def hits(docs: DataFrame, wanted, only=None) -> DataFrame:
     return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInPandas(run, "doc_id bigint, pos int, h bigint")
 
 
+def holders(docs: DataFrame, wanted) -> DataFrame:
+    """(doc_id, h): the distinct shingles of each document that pass ``wanted``. A document that has several rows may give a
+    shingle once for each; its sum is then an upper bound, and the verification exact."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tokens = Tokens()
+        for b in batches:
+            which, _, h = shingles(b["text"].tolist(), tokens)
+            keep = passes(wanted.value, h)
+            doc, h = b["doc_id"].to_numpy()[which[keep]], h[keep]
+            order = np.lexsort((h, doc))
+            doc, h = doc[order], h[order]
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+            yield pd.DataFrame({"doc_id": doc[new], "h": h[new]})
+
+    return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInPandas(run, "doc_id bigint, h bigint")
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, share: float = SHARE) -> DataFrame:
     """(doc_id, item_id, share) for ``docs`` (doc_id, text) and ``items`` (item_id, passage)."""
     n_docs = docs.count()
@@ -188,7 +211,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, share: float = SHARE) -> DataF
     # The prefix leaves out REST of the weight at most, so a document with the wanted share of an item
     # holds at least share - REST of it in prefix shingles. What no document holds is not looked for.
     prefix = weighed.where((F.col("before") <= (1 - REST) * F.col("total")) & (F.col("df") > 0)).select("item_id", "h", "w", "total")
-    met = hits(docs, sieve(prefix, "h")).select("doc_id", "h").distinct().join(prefix, "h").groupBy("doc_id", "item_id").agg((F.sum("w") / F.max("total")).alias("held"))
+    met = holders(docs, sieve(prefix, "h")).join(prefix, "h").groupBy("doc_id", "item_id").agg((F.sum("w") / F.max("total")).alias("held"))
     pairs = materialise(met.where(F.col("held") >= share - REST).select("doc_id", "item_id"), "pairs")
     found = hits(docs, any_item, sieve(pairs.select("doc_id").distinct(), "doc_id"))
     found_in = found.join(pairs, "doc_id").join(weighed.select("item_id", "h", "w", "size", "total"), ["item_id", "h"])

@@ -19,6 +19,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,19 +77,35 @@ def spread_ints(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (np.add.reduceat(parts, starts) if len(starts) else parts), last + 1
 
 
+def pieces(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(ends of the values, bytes) of a binary column without nulls, without a Python object per value."""
+    data, ends, at = [], [], 0
+    for c in column.chunks:
+        offsets = np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1].astype(np.int64)
+        if len(c):
+            data.append(np.frombuffer(c.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if offsets[-1] > offsets[0] else np.empty(0, np.uint8))
+            ends.append(offsets[1:] - offsets[0] + at)
+            at += int(offsets[-1] - offsets[0])
+    return (np.concatenate(ends), np.concatenate(data)) if ends else (np.empty(0, np.int64), np.empty(0, np.uint8))
+
+
+def binaries(ends: np.ndarray, data: np.ndarray) -> pa.Array:
+    offsets = np.concatenate([[0], ends]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+
+
 def cut_blocks(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(block, word, at): a row per block and distinct word with its positions ``at``, and one per block with a null word,
     whose ``at`` holds the documents' identifiers and numbers of pre-tokens."""
 
-    def block(name: int, ids: list[int], texts: list[str]) -> pd.DataFrame:
-        cut = cutter()
+    def block(cut, name: int, ids: list[int], texts: list[str]) -> pa.RecordBatch:
         seen: dict[str, int] = {}
         counts, spots = [], []
         for t in texts:
             words = cut.findall(t) if t else []
             counts.append(len(words))
             spots += [seen.setdefault(w, len(seen)) for w in words]
-        which = np.array(spots, np.int64)
+        which = np.array(spots, np.int32)
         order = np.argsort(which, kind="stable")
         uses = np.bincount(which, minlength=len(seen))
         first = np.cumsum(uses) - uses
@@ -95,28 +113,28 @@ def cut_blocks(df: DataFrame, doc_id: str, text: str) -> DataFrame:
         steps[first] = order[first]
         data, sizes = squeeze_ints(steps)
         ends = np.cumsum(sizes)[first + uses - 1]
-        raw = data.tobytes()
-        at = [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)] if len(seen) else []
-        docs = np.array([ids, counts], np.int64).tobytes()
-        return pd.DataFrame({"block": name, "word": [*seen, None], "at": [*at, docs]})
+        docs = np.array([ids, counts], np.int64).view(np.uint8).ravel()
+        at = binaries(np.append(ends, len(data) + len(docs)), np.concatenate([data, docs]))
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(seen) + 1, name)), pa.array([*seen, None], pa.string()), at], ["block", "word", "at"])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut = cutter()
         number = TaskContext.get().partitionId() << 32
         ids: list[int] = []
         texts: list[str] = []
         chars = 0
         for b in batches:
-            for i, t in zip(b["doc_id"].tolist(), b["text"].tolist(), strict=True):
+            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 ids.append(i)
                 texts.append(t or "")
                 chars += len(texts[-1])
                 if chars >= BLOCK_CHARS:
-                    yield block(number, ids, texts)
+                    yield block(cut, number, ids, texts)
                     number, ids, texts, chars = number + 1, [], [], 0
         if ids:
-            yield block(number, ids, texts)
+            yield block(cut, number, ids, texts)
 
-    return df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, "block bigint, word string, at binary")
+    return df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "block bigint, word string, at binary")
 
 
 def encode_words(words: DataFrame, path: str) -> DataFrame:
@@ -132,13 +150,13 @@ def encode_words(words: DataFrame, path: str) -> DataFrame:
     return words.mapInPandas(run, "word string, ids binary")
 
 
-def assemble(pdf: pd.DataFrame) -> pd.DataFrame:
+def assemble(table: pa.Table) -> pa.Table:
     """(doc_id, ids) of one block's rows (word, at, ids)."""
-    docs = np.frombuffer(pdf.loc[pdf["word"].isna(), "at"].iloc[0], np.int64).reshape(2, -1)
-    words = pdf[pdf["word"].notna()]
-    data = np.frombuffer(b"".join(words["at"]), np.uint8)
+    is_word = pc.is_valid(table["word"])
+    docs = np.frombuffer(table.filter(pc.invert(is_word))["at"][0].as_py(), np.int64).reshape(2, -1)
+    words = table.filter(is_word)
+    cuts, data = pieces(words["at"])
     steps, ends = spread_ints(data)
-    cuts = np.cumsum([len(x) for x in words["at"]])
     owner = np.searchsorted(cuts, ends - 1, side="right")
     # Positions are running sums that begin anew with each word.
     total = np.cumsum(steps)
@@ -146,14 +164,15 @@ def assemble(pdf: pd.DataFrame) -> pd.DataFrame:
     at = total - np.repeat(total[first] - steps[first], np.diff(np.append(first, len(owner)))) if len(owner) else total
     word_at = np.empty(len(at), np.int64)
     word_at[at] = owner
-    sizes = np.array([len(x) // 4 for x in words["ids"]], np.int64)
-    pool = np.frombuffer(b"".join(words["ids"]), np.int32)
+    id_ends, raw = pieces(words["ids"])
+    sizes = np.diff(id_ends, prepend=0) // 4
+    pool = raw.view(np.int32)
     begins = np.cumsum(sizes) - sizes
     each = sizes[word_at]
     out_ends = np.cumsum(each)
     flat = pool[np.repeat(begins[word_at] - (out_ends - each), each) + np.arange(int(out_ends[-1]) if len(out_ends) else 0)]
-    tokens_to = np.concatenate([[0], out_ends])[np.cumsum(docs[1])]
-    return pd.DataFrame({"doc_id": docs[0], "ids": np.split(flat, tokens_to[:-1])})
+    to = np.concatenate([[0], np.concatenate([[0], out_ends])[np.cumsum(docs[1])]]).astype(np.int32)
+    return pa.table([pa.array(docs[0]), pa.ListArray.from_arrays(pa.array(to), pa.array(flat))], ["doc_id", "ids"])
 
 
 def encode(df: DataFrame, doc_id: str, text: str, path: str | None = None) -> DataFrame:
@@ -163,7 +182,7 @@ def encode(df: DataFrame, doc_id: str, text: str, path: str | None = None) -> Da
     ids = encode_words(spots.where("word IS NOT NULL").select("word").distinct(), path)
     placed = spots.where("word IS NOT NULL").join(ids, "word").select("block", "word", "at", "ids")
     docs = spots.where("word IS NULL").select("block", "word", "at", F.lit(None).cast("binary").alias("ids"))
-    return placed.unionByName(docs).groupBy("block").applyInPandas(assemble, "doc_id bigint, ids array<int>")
+    return placed.unionByName(docs).groupBy("block").applyInArrow(assemble, "doc_id bigint, ids array<int>")
 
 
 def token_bytes(spark: SparkSession, path: str | None = None) -> DataFrame:

@@ -2,9 +2,13 @@
 
 ``ingest`` enforces a target schema on JSON lines and keeps every unknown or uncastable field of a
 line as JSON in one rescue column. ``drift`` compares each file of an account with the one before
-it, over the enforced and the rescued fields together. ``promotions`` turns the reported renames
+it, over the enforced and the rescued fields of what was ingested. ``promotions`` turns reported renames
 into approved fields, and ``replay`` moves their rescued values into the typed columns.
 
+Targets have a kind: text, number or timestamp. A timestamp is enforced as ISO text with an offset; other
+notations cast in ``replay``, by the zone of the line's site, if they denote one instant. Two keys of one line for one target are
+allowed: the first by name is enforced, the other rescued.
+
 Nulls, empty and unreadable lines give rows with null columns; a table without rows gives empty
 results; a line that occurs twice counts twice; other columns of the input are ignored.
 """
@@ -12,11 +16,12 @@ results; a line that occurs twice counts twice; other columns of the input are i
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.operators import instants
 from skein.session import materialise
-from skein.sources.jsonlines import explode_fields, parse_lines
+from skein.sources.jsonlines import parse_lines
 
 #: Least cosine of two fields' contents, in weighted character bigrams, for them to be one field
 #: renamed. Between files of 20 to 40 lines, one field scores 0.3 or more, two fields 0.21 or less.
@@ -25,51 +30,71 @@ RENAME_COSINE = 0.26
 FIELD_SHARE = 0.2
 
 KEYS = ["table_name", "row_id", "account_id", "file_no", "file_name", "line_number"]
+FILE = ["table_name", "account_id", "file_no"]
+Targets = dict[str, dict[str, tuple[str, str]]]
+
 
+def cast_to(kind: Column, leaf: Column) -> Column:
+    """Whether a value's text is of the kind as it stands."""
+    iso = leaf.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}.*(?:Z|[+-]\d{2}:?\d{2})$") & F.try_to_timestamp(leaf).isNotNull()
+    return F.when(kind == "number", leaf.try_cast("double").isNotNull()).when(kind == "timestamp", iso).otherwise(F.lit(True))
 
-def ingest(lines: DataFrame, targets: dict[str, dict[str, str]], raw: str = "raw_line") -> DataFrame:
-    """One row per line: KEYS, ``readable``, ``typed`` (target -> text) and ``rescued`` (key -> JSON).
 
-    ``targets`` maps a table_name to {key as written: target column}. A value reaches its typed
-    column if it is a string or a number; any other value, and every unknown key, is rescued.
+def ingest(lines: DataFrame, targets: Targets, raw: str = "raw_line") -> DataFrame:
+    """One row per line: KEYS, ``readable``, ``typed`` (target -> field, type, leaf) and ``rescued`` (key -> json, type, leaf).
+
+    ``targets`` maps a table_name to {key as written: (target column, kind)}. A value reaches its typed
+    column if it is a string or a number that casts to the kind; any other value, and every unknown key, is rescued.
+    A line is parsed once, and its fields never leave its row.
     """
     parsed = parse_lines(lines, raw, KEYS)
-    fields = explode_fields(parsed, ["table_name", "row_id"])
-    known = F.create_map(*[F.lit(x) for t, m in targets.items() for k, v in m.items() for x in (f"{t}\t{k}", v)])
-    f = fields.withColumn("target", known[F.concat_ws("\t", "table_name", "field")])
-    fits = F.col("target").isNotNull() & F.col("type").isin("string", "number")
-    held = f.groupBy("table_name", "row_id").agg(
-        F.map_from_entries(F.array_compact(F.collect_list(F.when(fits, F.struct("target", "leaf"))))).alias("typed"),
-        F.map_from_entries(
-            F.array_compact(F.collect_list(F.when(~fits, F.struct("field", F.struct("json", "type", "leaf")))))
-        ).alias("rescued"),
+    rows = parsed.select(*KEYS, "readable", F.expr("map_entries(CAST(obj AS MAP<STRING, VARIANT>))").alias("__e"))
+    seen = F.expr(
+        """transform(__e, e -> struct(e.key AS field, to_json(e.value) AS json, schema_of_variant(e.value) AS s,
+             try_variant_get(e.value, '$', 'string') AS text))"""
     )
-    return parsed.drop("obj").join(held, ["table_name", "row_id"], "left")
-
-
-def fields_of(ingested: DataFrame, targets: dict[str, dict[str, str]]) -> DataFrame:
-    """The long form of what was ingested: a row per line and field, enforced or rescued."""
-    written = F.create_map(*[F.lit(x) for t, m in targets.items() for k, v in m.items() for x in (f"{t}\t{v}", k)])
-    keep = ["table_name", "account_id", "file_no", "row_id"]
-    typed = ingested.select(*keep, F.explode("typed").alias("target", "leaf")).select(
-        *keep, written[F.concat_ws("\t", "table_name", "target")].alias("field"), F.lit(None).cast("string").alias("type"), "leaf"
+    kind = (
+        "CASE WHEN x.s = 'VOID' THEN 'null' WHEN x.s = 'STRING' THEN 'string' WHEN x.s = 'BOOLEAN' THEN 'boolean'"
+        " WHEN x.s LIKE 'ARRAY%' THEN 'array' WHEN x.s LIKE 'OBJECT%' THEN 'object' ELSE 'number' END"
     )
-    rescued = ingested.select(*keep, F.explode("rescued").alias("field", "v")).select(*keep, "field", "v.type", "v.leaf")
-    return typed.unionByName(rescued)
-
-
-def file_fields(lines: DataFrame, raw: str = "raw_line") -> tuple[DataFrame, DataFrame, DataFrame]:
+    leaf = (
+        "CASE WHEN x.s LIKE 'ARRAY%' THEN array_join(from_json(x.json, 'array<string>'), ' ')"
+        " WHEN x.s LIKE 'OBJECT%' THEN array_join(map_values(from_json(x.json, 'map<string,string>')), ' ')"
+        " WHEN x.s <> 'VOID' THEN coalesce(x.text, x.json) END"
+    )
+    rows = rows.select(*KEYS, "readable", seen.alias("__e"))
+    rows = rows.select(*KEYS, "readable", F.expr(f"transform(__e, x -> struct(x.field AS field, x.json AS json, {kind} AS type, {leaf} AS leaf))").alias("__e"))
+    of = {(t, k): v for t, m in targets.items() for k, v in m.items()}
+    known = F.create_map(*[F.lit(x) if isinstance(x, str) else x for (t, k), (c, kd) in of.items() for x in (f"{t}\t{k}", F.struct(F.lit(c).alias("target"), F.lit(kd).alias("kind")))])
+    name = lambda x: F.concat(F.col("table_name"), F.lit("\t"), x["field"])
+    simple = lambda x: x["type"].isin("string", "number") & x["leaf"].isNotNull()
+    mark = lambda x: F.when(simple(x), F.when(cast_to(known[name(x)]["kind"], x["leaf"]), known[name(x)]["target"]))
+    marked = F.array_sort(F.transform("__e", lambda x: F.struct(x["field"].alias("field"), mark(x).alias("target"), x["json"].alias("json"), x["type"].alias("type"), x["leaf"].alias("leaf"))))
+    rows = rows.select(*KEYS, "readable", marked.alias("__e"))
+    again = lambda x, i: F.exists(F.slice(F.col("__e"), F.lit(1), i), lambda y: y["target"] == x["target"])
+    first = lambda x, i: F.coalesce(x["target"].isNotNull() & ~again(x, i), F.lit(False))
+    typed = F.transform(F.filter("__e", first), lambda x: F.struct(x["target"], F.struct(x["field"].alias("field"), x["type"].alias("type"), x["leaf"].alias("leaf"))))
+    rest = F.transform(F.filter("__e", lambda x, i: ~first(x, i)), lambda x: F.struct(x["field"], F.struct(x["json"].alias("json"), x["type"].alias("type"), x["leaf"].alias("leaf"))))
+    return rows.select(*KEYS, "readable", F.map_from_entries(typed).alias("typed"), F.map_from_entries(rest).alias("rescued"))
+
+
+def fields_of(ingested: DataFrame) -> DataFrame:
+    """The long form of what was ingested: FILE, ``field``, ``type``, ``leaf`` per readable line and field, enforced or rescued."""
+    enforced = F.map_values("typed")
+    rescued = F.transform(F.map_entries("rescued"), lambda e: F.struct(e["key"].alias("field"), e["value"]["type"].alias("type"), e["value"]["leaf"].alias("leaf")))
+    return ingested.where("readable").select(*FILE, F.inline(F.concat(enforced, rescued)))
+
+
+def file_fields(ingested: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Per file its readable lines; per file and field its type; and the values, in long form."""
-    file = ["table_name", "account_id", "file_no"]
-    parsed = parse_lines(lines, raw, KEYS).where("readable")
-    files = parsed.groupBy(*file).agg(F.min("file_name").alias("file_name"), F.count("*").alias("n_lines"))
+    files = ingested.where("readable").groupBy(*FILE).agg(F.min("file_name").alias("file_name"), F.count("*").alias("n_lines"))
     before = Window.partitionBy("table_name", "account_id").orderBy("file_no")
     files = materialise(files.withColumn("prev_no", F.lag("file_no").over(before)), "files")
-    values = materialise(explode_fields(parsed, file).select(*file, "field", "type", "leaf"), "values")
-    by_type = values.groupBy(*file, "field", "type").agg(F.count("*").alias("n"))
+    values = fields_of(ingested)
+    by_type = values.groupBy(*FILE, "field", "type").agg(F.count("*").alias("n"))
     known = F.when(F.col("type") != "null", F.struct("n", "type"))
-    fields = by_type.groupBy(*file, "field").agg(F.sum("n").alias("n"), F.max(known)["type"].alias("type"))
-    fields = fields.join(files, file).where(F.col("n") >= FIELD_SHARE * F.col("n_lines"))
+    fields = by_type.groupBy(*FILE, "field").agg(F.sum("n").alias("n"), F.max(known)["type"].alias("type"))
+    fields = fields.join(files, FILE).where(F.col("n") >= FIELD_SHARE * F.col("n_lines"))
     return files, materialise(fields, "fields"), values
 
 
@@ -100,15 +125,15 @@ def rename_scores(pairs: DataFrame, values: DataFrame) -> DataFrame:
     return score.groupBy(*key).agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine"))
 
 
-def drift(lines: DataFrame, raw: str = "raw_line") -> DataFrame:
+def drift(ingested: DataFrame) -> DataFrame:
     """Every change of a field between a file and the one before it by ``file_no``, within one table
-    and account: ``change_kind`` is added, removed, renamed or type_changed.
+    and account: ``change_kind`` is added, removed, renamed (with its ``cosine``) or type_changed.
 
     Renames are assigned greedily by falling cosine among a file's added and removed fields, ties by
     the fields' names; a field takes part in one rename at most.
     """
-    files, fields, values = file_fields(lines, raw)
-    at = ["table_name", "account_id", "file_no"]
+    files, fields, values = file_fields(ingested)
+    at = FILE
     names = files.where("prev_no IS NOT NULL").select(*at, "prev_no", "file_name")
     cur = fields.where("prev_no IS NOT NULL").select(*at, "field", F.col("type").alias("new_type"))
     prev = fields.select("table_name", "account_id", F.col("file_no").alias("prev_no"), "field", F.col("type").alias("old_type"))
@@ -119,19 +144,21 @@ def drift(lines: DataFrame, raw: str = "raw_line") -> DataFrame:
     pairs = added.join(removed, at).join(names, at)
     scores = rename_scores(pairs, values).where(F.col("cosine") >= RENAME_COSINE)
     greedy = F.expr(
-        """aggregate(array_sort(collect_list(struct(-cosine AS c, old_field AS o, new_field AS n))),
+        """aggregate(array_sort(collect_list(struct(-round(cosine, 9) AS c, old_field AS o, new_field AS n))),
              CAST(array() AS array<struct<c:double,o:string,n:string>>),
              (acc, x) -> IF(exists(acc, y -> y.o = x.o OR y.n = x.n), acc, concat(acc, array(x))))"""
     )
     renamed = scores.groupBy(*at).agg(greedy.alias("picked")).select(*at, F.inline("picked")).select(
-        *at, F.col("o").alias("old_field"), F.col("n").alias("new_field")
+        *at, F.col("o").alias("old_field"), F.col("n").alias("new_field"), (-F.col("c")).alias("cosine")
     )
     renamed = materialise(renamed, "renamed")
     a = added.join(renamed, [*at, "new_field"], "left").withColumn("found", F.col("old_field").isNotNull())
     r = removed.join(renamed, [*at, "old_field"], "left")
     types = a.where("found").join(removed, [*at, "old_field"])
     kept = both.where("here AND there AND new_type <> old_type")
-    say = lambda d, kind, old, new: d.select(*at, F.lit(kind).alias("change_kind"), old.alias("old_field"), new.alias("new_field"))
+    say = lambda d, kind, old, new: d.select(
+        *at, F.lit(kind).alias("change_kind"), old.alias("old_field"), new.alias("new_field"), (F.col("cosine") if kind == "renamed" else F.lit(None).cast("double")).alias("cosine")
+    )
     none, old, new = F.lit(""), F.col("old_field"), F.col("new_field")
     changes = (
         say(a.where("NOT found"), "added", none, new)
@@ -143,46 +170,62 @@ def drift(lines: DataFrame, raw: str = "raw_line") -> DataFrame:
     return changes.join(names.select(*at, "file_name"), at)
 
 
-def promotions(changes: DataFrame, targets: dict[str, dict[str, str]]) -> DataFrame:
+def promotions(changes: DataFrame, targets: Targets, register: DataFrame | None = None, least: float = RENAME_COSINE) -> DataFrame:
     """The approved fields: (table_name, account_id, field, target) for every key that a chain of
-    reported renames leads to from a target's key. Only rename events are grouped, a few per file."""
+    approved renames leads to from a target's key. Only rename events are grouped, a few per file.
+
+    A rename is approved by ``register`` (table_name, old_field, new_field, approved), the decisions of whoever
+    owns the schema; one the register does not name is approved if its cosine is ``least`` or more.
+    """
 
     def follow(pdf: pd.DataFrame) -> pd.DataFrame:
         table, account = pdf["table_name"].iloc[0], pdf["account_id"].iloc[0]
-        now = dict(targets.get(table, {}))
+        now = {k: c for k, (c, _) in targets.get(table, {}).items()}
         for old, new in pdf.sort_values(["file_no", "old_field", "new_field"])[["old_field", "new_field"]].itertuples(index=False):
             if old in now:
                 now.setdefault(new, now[old])
         rows = [(table, account, k, v) for k, v in now.items()]
         return pd.DataFrame(rows, columns=["table_name", "account_id", "field", "target"])
 
-    events = changes.where("change_kind = 'renamed'").select("table_name", "account_id", "file_no", "old_field", "new_field")
+    events = changes.where("change_kind = 'renamed'").select("table_name", "account_id", "file_no", "old_field", "new_field", "cosine")
+    said = F.lit(None).cast("boolean")
+    if register is not None:
+        events = events.join(register.select("table_name", "old_field", "new_field", "approved"), ["table_name", "old_field", "new_field"], "left")
+        said = F.col("approved")
+    events = events.where(F.coalesce(said, F.col("cosine") >= least)).select("table_name", "account_id", "file_no", "old_field", "new_field")
     return events.groupBy("table_name", "account_id").applyInPandas(follow, "table_name string, account_id string, field string, target string")
 
 
-def replay(ingested: DataFrame, approved: DataFrame, targets: dict[str, dict[str, str]]) -> DataFrame:
-    """The consistent table: KEYS, ``readable``, a text column per target and ``rescued`` (JSON, null
-    if nothing is left in it). A rescued value moves into its typed column if its key is approved,
-    or if its key is a target's own and the value was rescued for its type."""
+def replay(ingested: DataFrame, approved: DataFrame, targets: Targets, zones: DataFrame | None = None) -> DataFrame:
+    """The consistent table: KEYS, ``readable``, a column per target, of its kind, and ``rescued`` (JSON, null
+    if nothing is left in it). A rescued value moves into its typed column if its key is approved, or is a target's
+    own, if it casts to the column's kind, and if the column has no value; the first by key's name wins. All others stay rescued.
+    ``zones`` (table_name, row_id, zone) has the zones of the lines' sites, for timestamps without zone."""
     own = ingested.sparkSession.createDataFrame(
-        [(t, k, v) for t, m in targets.items() for k, v in m.items()], "table_name string, field string, own string"
-    )
-    rescued = ingested.select("table_name", "row_id", "account_id", F.explode("rescued").alias("field", "v"))
-    moved = (
-        rescued.join(approved, ["table_name", "account_id", "field"], "left")
-        .join(own, ["table_name", "field"], "left")
-        .withColumn("target", F.coalesce("target", "own"))
+        [(t, k, c) for t, m in targets.items() for k, (c, _) in m.items()], "table_name string, field string, own string"
     )
+    kinds = {c: kd for m in targets.values() for c, kd in m.values()}
+    kind = F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv])
+    rescued = ingested.select("table_name", "row_id", "account_id", "typed", F.explode("rescued").alias("field", "v"))
+    to = F.coalesce("target", "own")
+    fits = to.isNotNull() & F.col("v.leaf").isNotNull() & ~F.map_contains_key("typed", F.coalesce(to, F.lit("")))
+    moved = rescued.join(approved, ["table_name", "account_id", "field"], "left").join(own, ["table_name", "field"], "left")
+    moved = moved.join(zones, ["table_name", "row_id"], "left") if zones is not None else moved.withColumn("zone", F.lit(None).cast("string"))
+    moved = moved.select("table_name", "row_id", "field", "v", "zone", F.when(fits, to).alias("to"))
+    timed = instants.to_instants(moved.withColumn("stamp", F.when(kind[F.col("to")] == "timestamp", F.col("v.leaf"))), "stamp", "zone")
+    whole = F.when(kind[F.col("to")] == "timestamp", F.col("epoch_ms").isNotNull()).otherwise(cast_to(kind[F.col("to")], F.col("v.leaf")))
+    utc = F.concat(F.date_format(F.to_utc_timestamp(F.timestamp_millis("epoch_ms"), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit("Z"))
+    moved = timed.select("table_name", "row_id", "field", F.when(whole, F.col("to")).alias("to"), F.coalesce(utc, F.col("v.leaf")).alias("leaf"), F.col("v.json").alias("json"))
+    first = Window.partitionBy("table_name", "row_id", "to").orderBy("field")
+    moved = moved.withColumn("to", F.when(F.row_number().over(first) == 1, F.col("to")))
     back = moved.groupBy("table_name", "row_id").agg(
-        F.collect_list(F.when(F.col("target").isNotNull() & F.col("v.leaf").isNotNull(), F.struct("target", "v.leaf"))).alias("moved"),
-        F.collect_list(F.when(F.col("target").isNull(), F.struct("field", "v.json"))).alias("left_over"),
+        F.map_from_entries(F.array_compact(F.collect_list(F.when(F.col("to").isNotNull(), F.struct("to", "leaf"))))).alias("moved"),
+        F.collect_list(F.when(F.col("to").isNull(), F.struct("field", "json"))).alias("left_over"),
     )
-    columns = sorted({v for m in targets.values() for v in m.values()})
     out = ingested.select(*KEYS, "readable", "typed").join(back, ["table_name", "row_id"], "left")
     name = lambda x: F.to_json(F.array(x["field"]))
     member = lambda x: F.concat(name(x).substr(F.lit(2), F.length(name(x)) - 2), F.lit(":"), x["json"])
     rest = F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort("left_over"), member), ","), F.lit("}"))
-    first = lambda c: F.try_element_at(F.array_sort(F.filter("moved", lambda x: x["target"] == c)), F.lit(1))["leaf"]
-    return out.select(
-        *KEYS, "readable", *[F.coalesce(F.col("typed")[c], first(c)).alias(c) for c in columns], F.when(F.size("left_over") > 0, rest).alias("rescued")
-    )
+    text = lambda c: F.coalesce(F.col("typed")[c]["leaf"], F.col("moved")[c])
+    as_kind = {"text": lambda x: x, "number": lambda x: x.try_cast("double"), "timestamp": lambda x: F.try_to_timestamp(x)}
+    return out.select(*KEYS, "readable", *[as_kind[kinds[c]](text(c)).alias(c) for c in sorted(kinds)], F.when(F.size("left_over") > 0, rest).alias("rescued"))

@@ -12,7 +12,7 @@ count as missing. Repeated rows and ties are kept as they are; an empty table gi
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions.plan import settled
@@ -144,23 +144,70 @@ def to_instants(df: DataFrame, value: str, zone: str, zones: list[str] | None =
     return settled(p, df.columns, {"epoch_ms": F.coalesce("__epoch", (seconds * 1000 + F.col("__ms")).cast("bigint"))})
 
 
-def estimate_zones(df: DataFrame, value: str, seen: str, clock: str, candidates: list[str], max_lag_days: int = 60) -> DataFrame:
-    """The zone of each clock, from wall times without zone: (clock, zone, n, violations).
-
-    ``seen`` is the row's time of ingestion (epoch seconds). Each wall time is converted by each
-    candidate's offset history; it violates the order of events if it lies after its ingestion or
-    more than ``max_lag_days`` before it. The history with the fewest violations wins, then the one
-    with the shortest lags, then the first by name. Counts are aggregated per clock and candidate
-    before they are compared, so a clock with a third of all rows is no larger a task than another.
+#: One zone for each offset history in wide use, by which unknown clocks are tried.
+CANDIDATES = [
+    "Pacific/Honolulu", "America/Anchorage", "America/Los_Angeles", "America/Phoenix", "America/Denver", "America/Chicago", "America/Mexico_City", "America/New_York",
+    "America/Bogota", "America/Halifax", "America/Caracas", "America/Santiago", "America/St_Johns", "America/Sao_Paulo", "Atlantic/Azores", "UTC", "Europe/London", "Africa/Lagos",
+    "Europe/Berlin", "Africa/Johannesburg", "Europe/Athens", "Africa/Cairo", "Europe/Moscow", "Africa/Nairobi", "Asia/Tehran", "Asia/Dubai", "Asia/Kabul", "Asia/Karachi", "Asia/Kolkata",
+    "Asia/Kathmandu", "Asia/Dhaka", "Asia/Yangon", "Asia/Bangkok", "Asia/Shanghai", "Asia/Tokyo", "Australia/Darwin", "Australia/Adelaide", "Australia/Brisbane", "Australia/Sydney",
+    "Pacific/Auckland",
+]
+#: Local lags are compared in quarters of an hour, of which every offset in use is a multiple.
+QUARTER = 900
+#: Share of a clock's rows that must be ingested within an hour for lags alone to tell its zone.
+NEAR = 0.05
+
+
+def estimate_zones(df: DataFrame, value: str, seen: str, clock: str, candidates: list[str] | None = None, max_lag_days: int = 60) -> DataFrame:
+    """The zone of each clock, from rows whose zone is not stated: (clock, zone, n, violations).
+
+    ``seen`` is the row's time of ingestion (epoch seconds). Under each candidate's offset history a row
+    without an offset is a violation if its wall time is one the zone skips, if it lies after its ingestion, or more
+    than ``max_lag_days`` before it; a row that does state an offset (other than UTC, which any clock may write)
+    is one if the candidate had another offset then. The history with the fewest violations is chosen;
+    histories that agree at all times observed are one, named by the first candidate. Where different ones tie, the
+    one under which most rows were ingested within an hour is chosen if those are NEAR of the rows or more: then
+    a clock an hour further west would be in the future. Else the rows do not tell the zone, and it is null (undetermined).
+
+    Rows are counted per clock, hour and quarter of an hour of lag before any candidate is tried, so
+    a clock with a third of all rows is no larger a task than another, and repeated rows cost nothing.
     """
-    naive = parse(df.select(F.col(clock).alias("clock"), F.col(value).alias("v"), F.col(seen).alias("seen"), F.lit(None).cast("string").alias("z")), "v", "z")
-    naive = naive.where("__wall IS NOT NULL AND __minutes IS NULL AND NOT __day AND __zone IS NULL AND seen IS NOT NULL")
-    tried = naive.select("clock", "seen", "__wall", F.explode(F.array(*[F.lit(c) for c in candidates])).alias("zone"))
-    lag = F.col("seen") - wall_to_utc(F.col("__wall"), F.col("zone"))["utc"]
-    votes = tried.select("clock", "zone", lag.alias("lag")).groupBy("clock", "zone").agg(
-        F.count("*").alias("n"),
-        F.sum(F.when(F.col("lag").isNull() | (F.col("lag") < 0) | (F.col("lag") > max_lag_days * DAY), 1).otherwise(0)).alias("violations"),
-        F.sum(F.when(F.col("lag") >= 0, F.col("lag"))).alias("lags"),
+    candidates = sorted(candidates or CANDIDATES)
+    rows = df.select(F.col(clock).alias("clock"), F.col(value).alias("v"), F.col(seen).cast("bigint").alias("seen"), F.lit(None).cast("string").alias("z"))
+    p = parse(rows, "v", "z").where("__wall IS NOT NULL AND __zone IS NULL AND NOT __day AND clock IS NOT NULL")
+    edge = 16 * 4  # beyond sixteen hours no offset makes a difference
+    lag = F.floor((F.col("seen") - F.col("__wall")) / QUARTER)
+    late = (F.col("seen") - F.col("__wall")) > max_lag_days * DAY
+    facts = p.where("__minutes IS NULL OR __minutes <> 0").select(
+        "clock", F.floor(F.col("__wall") / 3600).alias("hour"), F.col("__minutes").alias("minutes"),
+        F.when(F.col("__minutes").isNull(), F.when(late, edge + 1).otherwise(F.least(lag, F.lit(edge)))).cast("int").alias("lag"),
+    ).where("minutes IS NOT NULL OR lag IS NOT NULL").groupBy("clock", "hour", "minutes", "lag").agg(F.count("*").alias("n"))
+    tried = facts.withColumn("zone", F.explode(F.array(*[F.lit(c) for c in candidates])))
+    wall = F.col("hour") * 3600 + 1800
+    tried = tried.withColumn("u", wall_to_utc(wall, F.col("zone")))
+    offset = wall - F.col("u.first")
+    own = F.when(F.col("minutes").isNotNull(), F.col("minutes") * 60 != offset).otherwise(
+        F.col("u.skipped") | (F.col("lag") > edge) | (F.col("lag") + F.floor(offset / QUARTER) < 0)
+    )
+    # The hours at which a zone was observed, with its offset there, tell histories apart.
+    history = F.sum(F.pmod(F.xxhash64("hour", offset), F.lit(1 << 40)))
+    soon = F.col("minutes").isNull() & (F.col("lag") + F.floor(offset / QUARTER)).between(0, 3)
+    votes = tried.groupBy("clock", "zone").agg(
+        F.sum("n").alias("n"), F.sum(F.when(own, F.col("n")).otherwise(0)).alias("violations"), F.sum(F.when(soon, F.col("n")).otherwise(0)).alias("soon"), history.alias("history")
     )
-    best = Window.partitionBy("clock").orderBy("violations", F.asc_nulls_last("lags"), "zone")
-    return votes.withColumn("r", F.row_number().over(best)).where("r = 1").select("clock", "zone", "n", "violations")
+    best = votes.groupBy("clock").agg(F.min("violations").alias("violations"))
+    one = votes.join(best, ["clock", "violations"]).groupBy("clock", "violations", "history").agg(F.max("n").alias("n"), F.min("zone").alias("zone"), F.max("soon").alias("soon"))
+    tied = one.groupBy("clock", "violations").agg(F.max("n").alias("n"), F.max_by("zone", F.struct("soon", "zone")).alias("zone"), F.max("soon").alias("soon"), F.count("*").alias("histories"))
+    told = (F.col("histories") == 1) | (F.col("soon") >= F.greatest(F.lit(3.0), NEAR * F.col("n")))
+    return tied.select("clock", F.when(told, F.col("zone")).alias("zone"), "n", "violations")
+
+
+def instants_of(df: DataFrame, value: str, zone: str, clock: str, seen: str, candidates: list[str] | None = None) -> DataFrame:
+    """``df`` with ``epoch_ms``: each row by its own offset or zone, and rows of no usable zone by the zone that is
+    estimated for their clock. Only those rows, and no others, pay for the estimate."""
+    zones = known_zones(df)
+    usable = F.coalesce(F.col(zone).isin(zones), F.lit(False))
+    lacking = df.where(~usable)
+    guessed = estimate_zones(lacking, value, seen, clock, candidates)
+    own = to_instants(df.where(usable), value, zone, zones)
+    return own.unionByName(to_instants(lacking, value, zone, zones, guessed, clock))

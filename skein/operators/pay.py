@@ -3,9 +3,11 @@
 ``read`` takes figures and units out of free text or from separate columns. A figure whose own text
 names no unit ("44-76") gets one from a calibrated random forest, trained on the records that do
 name one, with the unit hidden: it predicts the unit from the figure's magnitude, the width of the
-range, the source and what the neighbouring fields say of a unit. An exact check follows: a unit
-which the record's other text states in words outranks a different prediction. Assignments of at
-least ``CONFIDENT`` calibrated confidence are converted, the others go to review.
+range, the source, the category and what the neighbouring fields say of a unit. Assignments of at
+least ``CONFIDENT`` calibrated confidence are converted. An exact check follows: where the record's other
+text states a unit in words, that unit holds, whether the forest was unsure or of another mind (``decided_by``
+tells the two apart); an unsure assignment without such words goes to review. Confidence is calibrated on held-out
+records whose unit is hidden, and for each kind of evidence apart.
 
 A record without figures (null, empty, "negotiable") has decision ``none``. Ties and repeated
 records are treated alike; an empty table gives an empty result and trains nothing; other columns
@@ -21,13 +23,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions.plan import settled
-from skein.functions.text import narrow, squeeze
+from skein.functions.text import bare, narrow, squeeze
 from skein.session import materialise
 
 #: The classifier is fitted on at most so many labelled records, those of the lowest hash.
 TRAIN_ROWS = 6000
 CONFIDENT = 0.9
 BINS = 20
+#: Categories are told apart by as many buckets of their hash.
+CATEGORIES = 64
 #: The units a bare figure can have: scale, period; the currency is yuan.
 UNITS = [("1", "month"), ("1000", "month"), ("10000", "month"), ("10000", "year"), ("1", "year"), ("1", "day"), ("1", "hour"), ("0.01", "month")]
 
@@ -75,7 +79,7 @@ def scale(s: Column) -> Column:
 
 
 def read(df: DataFrame) -> DataFrame:
-    """Figures and units of records (table_name, row_key, value, low, high, unit, other).
+    """Figures and units of records (table_name, row_key, value, low, high, unit, other, category).
 
     Adds ``lo`` and ``hi`` as written, ``lo_scale`` and ``hi_scale``, ``period`` and ``currency``
     where named, ``stated`` (the record itself names a unit) and ``ev_scale``, ``ev_period`` (what
@@ -83,7 +87,8 @@ def read(df: DataFrame) -> DataFrame:
     """
     text = F.regexp_replace(plain(F.col("value")), r"[·*×X]\d+薪.*$", "")
     figures = F.regexp_replace("__s", r"HK\$|US\$|USD|HKD|EUR|CNY|RMB|[¥￥€$]", "")
-    d = df.select("table_name", "row_key", "low", "high", "other", text.alias("__s"), plain(F.col("unit")).alias("__unit"))
+    category = F.pmod(F.xxhash64(bare(F.col("category"))), F.lit(CATEGORIES)).cast("double") if "category" in df.columns else F.lit(0.0)
+    d = df.select("table_name", "row_key", "low", "high", "other", text.alias("__s"), plain(F.col("unit")).alias("__unit"), category.alias("category"))
     d = d.withColumn("__f", figures).withColumn("__u", F.concat_ws("", "__s", "__unit"))
     pair = rf"{_NUM}元?-{_NUM}"
     two = F.col("__f").rlike(pair)
@@ -94,7 +99,7 @@ def read(df: DataFrame) -> DataFrame:
     first, second = of(F.when(two, got(pair, 2)).otherwise(got(_NUM, 2))), of(F.when(two, got(pair, 4)).otherwise(got(_NUM, 2)))
     given = F.col("low").isNotNull() | F.col("high").isNotNull()
     unit = scale(F.col("__unit"))
-    d = settled(d, ["table_name", "row_key", "other"], {
+    d = settled(d, ["table_name", "row_key", "other", "category"], {
         "lo": F.when(given, F.coalesce("low", "high")).otherwise(lo), "hi": F.when(given, F.coalesce("high", "low")).otherwise(hi),
         "lo_scale": F.when(given, unit).otherwise(F.coalesce(first, second)), "hi_scale": F.when(given, unit).otherwise(F.coalesce(second, first)),
         "period": period(F.col("__u")), "currency": currency(F.col("__u")),
@@ -124,10 +129,11 @@ def _features(d: DataFrame) -> DataFrame:
         F.log10(F.greatest("hi", F.lit(1e-6)) / F.greatest("lo", F.lit(1e-6))).alias("f_width"),
         F.when((F.col("lo") == F.floor("lo")) & (F.col("hi") == F.floor("hi")), 0.0).otherwise(1.0).alias("f_part"),
         F.coalesce(code(F.col("table_name"), ["jobs", "lagou_jobs", "jobs_list"]), F.lit(0.0)).alias("f_source"),
+        F.coalesce("category", F.lit(0.0)).alias("f_category"),
         F.coalesce(code(F.col("ev_scale"), ["1", "1000", "10000", "0.01"]), F.lit(0.0)).alias("f_scale"),
         F.coalesce(code(F.col("ev_period"), ["month", "year", "day", "hour"]), F.lit(0.0)).alias("f_period"),
     )
-    cols = ["f_size", "f_width", "f_part", "f_source", "f_scale", "f_period"]
+    cols = ["f_size", "f_width", "f_part", "f_source", "f_category", "f_scale", "f_period"]
     return VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="skip").transform(d)
 
 
@@ -144,63 +150,89 @@ def monotone(points: list[tuple[float, float]]) -> list[float]:
     return [v for _, v, n in blocks for _ in range(int(n))]
 
 
+def _sample(labelled: DataFrame) -> DataFrame:
+    """The training sample: every record twice, with its unit as evidence (as other text would state it) and without.
+    Seven tenths by hash are ``fit``, the rest is held out."""
+    key = F.xxhash64("table_name", "row_key")
+    sample = labelled.withColumn("h", key).orderBy("h", "table_name", "row_key").limit(TRAIN_ROWS)
+    told = sample.withColumns({"ev_scale": F.col("lo_scale"), "ev_period": F.col("period"), "told": F.lit(True)})
+    blind = sample.withColumns({"ev_scale": F.lit(None).cast("string"), "ev_period": F.lit(None).cast("string"), "told": F.lit(False)})
+    return _features(told.unionByName(blind)).select("told", (F.pmod("h", F.lit(10)) < 7).alias("fit"), "label", "features")
+
+
+def _forest(data: DataFrame):
+    return RandomForestClassifier(numTrees=12, maxDepth=8, maxBins=64, seed=7, labelCol="label", featuresCol="features").fit(data.where("fit"))
+
+
 def fit(labelled: DataFrame):
-    """(model, calibration by confidence bin) from records with a known unit, or None without any.
+    """(model, calibration by evidence and confidence bin) from records with a known unit, or None without any.
 
-    Every record is used twice, once with its unit as evidence and once without. Seven tenths of the
-    sample fit the forest, the rest calibrates it: the share of right predictions per bin of
-    confidence, made monotone.
+    The calibration is the share of right predictions of held-out records per bin of confidence, made
+    monotone; records with and without evidence have one each, so the easy do not lend confidence to the hard.
     """
-    key = F.xxhash64("table_name", "row_key")
-    sample = labelled.withColumn("h", key).orderBy("h", "table_name", "row_key").limit(TRAIN_ROWS)
-    told = sample.withColumns({"ev_scale": F.col("lo_scale"), "ev_period": F.col("period")})
-    blind = sample.withColumns({"ev_scale": F.lit(None).cast("string"), "ev_period": F.lit(None).cast("string")})
-    data = _features(told.unionByName(blind)).select("h", "label", "features").coalesce(2).cache()
-    train = data.where(F.pmod("h", F.lit(10)) < 7)
-    if train.isEmpty():
+    data = materialise(_sample(labelled).coalesce(2), "sample")
+    if data.where("fit").isEmpty():
         return None
-    model = RandomForestClassifier(numTrees=12, maxDepth=8, maxBins=64, seed=7, labelCol="label", featuresCol="features").fit(train)
-    held = _confidence(model.transform(data.where(F.pmod("h", F.lit(10)) >= 7)))
-    rows = held.groupBy(F.least(F.floor(F.col("confidence") * BINS), F.lit(BINS - 1)).alias("bin")).agg(
+    model = _forest(data)
+    held = _confidence(model.transform(data.where("NOT fit")))
+    rows = held.groupBy("told", F.least(F.floor(F.col("confidence") * BINS), F.lit(BINS - 1)).alias("bin")).agg(
         F.count("*").alias("n"), F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("right")
     )
-    seen = {r["bin"]: (float(r["n"]), r["right"]) for r in rows.collect()}
-    data.unpersist()
-    return model, monotone([seen.get(b, (0.0, (b + 0.5) / BINS)) for b in range(BINS)])
+    seen = {(r["told"], r["bin"]): (float(r["n"]), r["right"]) for r in rows.collect()}
+    return model, {told: monotone([seen.get((told, b), (0.0, (b + 0.5) / BINS)) for b in range(BINS)]) for told in (False, True)}
+
+
+def held_out(df: DataFrame) -> DataFrame:
+    """(unit, n, right): per unit the held-out records whose unit was hidden without any evidence, and how many the forest got right."""
+    data = materialise(_sample(_labelled(materialise(read(df), "pay"))).coalesce(2), "sample")
+    names = F.array(*[F.lit(f"{a}|{b}") for a, b in UNITS])
+    blank = df.sparkSession.createDataFrame([], "unit string, n bigint, right bigint")
+    if data.where("fit").isEmpty():
+        return blank
+    held = _forest(data).transform(data.where("NOT fit AND NOT told"))
+    return held.groupBy(names[F.col("label").cast("int")].alias("unit")).agg(F.count("*").alias("n"), F.count_if(F.col("prediction") == F.col("label")).alias("right"))
 
 
 def _confidence(d: DataFrame) -> DataFrame:
     return d.withColumn("confidence", F.array_max(vector_to_array("probability")))
 
 
+def _labelled(d: DataFrame) -> DataFrame:
+    """Records of ``read`` that state a unit in yuan, with its ``label``."""
+    same = F.coalesce(F.col("lo_scale"), F.lit("1")) == F.coalesce(F.col("hi_scale"), F.lit("1"))
+    own = d.where(F.col("lo").isNotNull() & F.col("stated") & same & (F.coalesce("currency", F.lit("CNY")) == "CNY"))
+    own = own.withColumns({"lo_scale": F.coalesce("lo_scale", F.lit("1")), "period": F.coalesce("period", F.lit("month"))})
+    return own.withColumn("label", _unit_index(F.col("lo_scale"), F.col("period"))).where("label IS NOT NULL")
+
+
 def to_monthly(df: DataFrame, pay_unit: DataFrame) -> DataFrame:
     """Every record with ``decision`` (converted, review, none), ``low_yuan``, ``high_yuan``, and for
-    bare figures ``predicted`` (scale|period) and ``confidence``."""
+    bare figures ``predicted`` (scale|period), ``confidence``, ``said`` (the unit in other text) and ``decided_by`` (forest, text)."""
     d = materialise(read(df), "pay")
     has = F.col("lo").isNotNull()
     explicit = d.where(has & F.col("stated"))
-    bare = d.where(has & ~F.col("stated"))
-    same = F.coalesce(F.col("lo_scale"), F.lit("1")) == F.coalesce(F.col("hi_scale"), F.lit("1"))
-    labelled = explicit.where(same & (F.coalesce("currency", F.lit("CNY")) == "CNY")).withColumns(
-        {"lo_scale": F.coalesce("lo_scale", F.lit("1")), "period": F.coalesce("period", F.lit("month"))}
-    )
-    labelled = labelled.withColumn("label", _unit_index(F.col("lo_scale"), F.col("period"))).where("label IS NOT NULL")
-    fitted = fit(labelled)
+    bare_ = d.where(has & ~F.col("stated"))
+    fitted = fit(_labelled(d))
     none = F.lit(None)
-    explicit = explicit.withColumns({"predicted": none.cast("string"), "confidence": none.cast("double"), "decision": F.lit("converted")})
+    blank = {"predicted": none.cast("string"), "confidence": none.cast("double"), "said": none.cast("string"), "decided_by": none.cast("string")}
+    explicit = explicit.withColumns(blank | {"decision": F.lit("converted")})
     names = F.array(*[F.lit(f"{a}|{b}") for a, b in UNITS])
     if fitted is None:
-        bare = bare.withColumns({"predicted": none.cast("string"), "confidence": none.cast("double")})
+        bare_ = bare_.withColumns({"predicted": none.cast("string"), "confidence": none.cast("double")})
     else:
         model, steps = fitted
-        level = F.array(*[F.lit(float(x)) for x in steps])[F.least(F.floor(F.col("confidence") * BINS), F.lit(BINS - 1)).cast("int")]
-        bare = _confidence(model.transform(_features(bare))).withColumn("predicted", names[F.col("prediction").cast("int")]).withColumn("confidence", level)
-    chosen = F.when(F.col("ev_scale").isNotNull(), F.concat_ws("|", "ev_scale", "ev_period")).when(F.col("confidence") >= CONFIDENT, F.col("predicted"))
-    bare = bare.withColumn("__unit", chosen).withColumn("decision", F.when(F.col("__unit").isNotNull(), "converted").otherwise("review"))
+        step = lambda told: F.array(*[F.lit(float(x)) for x in steps[told]])[F.least(F.floor(F.col("confidence") * BINS), F.lit(BINS - 1)).cast("int")]
+        level = F.when(F.col("ev_scale").isNotNull(), step(True)).otherwise(step(False))
+        bare_ = _confidence(model.transform(_features(bare_))).withColumn("predicted", names[F.col("prediction").cast("int")]).withColumn("confidence", level)
+    bare_ = bare_.withColumn("said", F.when(F.col("ev_scale").isNotNull(), F.concat_ws("|", "ev_scale", "ev_period")))
+    sure = F.coalesce((F.col("confidence") >= CONFIDENT) & (F.col("said").isNull() | (F.col("said") == F.col("predicted"))), F.lit(False))
+    bare_ = bare_.withColumn("decided_by", F.when(sure, "forest").when(F.col("said").isNotNull(), "text"))
+    bare_ = bare_.withColumn("__unit", F.when(F.col("decided_by") == "forest", F.col("predicted")).otherwise(F.col("said")))
+    bare_ = bare_.withColumn("decision", F.when(F.col("__unit").isNotNull(), "converted").otherwise("review"))
     part = lambda i: F.split("__unit", r"\|")[i]
-    bare = bare.withColumns({"lo_scale": part(0), "hi_scale": part(0), "period": part(1)}).select(explicit.columns)
-    empty = d.where(~has).withColumns({"predicted": none.cast("string"), "confidence": none.cast("double"), "decision": F.lit("none")})
-    out = explicit.unionByName(bare).unionByName(empty)
+    bare_ = bare_.withColumns({"lo_scale": part(0), "hi_scale": part(0), "period": part(1)}).select(explicit.columns)
+    empty = d.where(~has).withColumns(blank | {"decision": F.lit("none")})
+    out = explicit.unionByName(bare_).unionByName(empty)
     periods = pay_unit.where("kind = 'period'").select(F.col("unit_code").alias("__p"), F.col("factor").alias("per_month"))
     money = pay_unit.where("kind = 'currency'").select(F.col("unit_code").alias("__c"), F.col("factor").alias("in_yuan"))
     out = out.join(periods, F.coalesce("period", F.lit("month")) == F.col("__p"), "left").join(money, F.coalesce("currency", F.lit("CNY")) == F.col("__c"), "left")
@@ -209,5 +241,5 @@ def to_monthly(df: DataFrame, pay_unit: DataFrame) -> DataFrame:
     paid = F.col("decision") == "converted"
     return out.select(
         "table_name", "row_key", "decision", F.when(paid, F.least(a, b)).alias("low_yuan"), F.when(paid, F.greatest(a, b)).alias("high_yuan"),
-        F.col("lo").alias("low"), F.col("hi").alias("high"), "predicted", "confidence",
+        F.col("lo").alias("low"), F.col("hi").alias("high"), "predicted", "confidence", "said", "decided_by",
     )

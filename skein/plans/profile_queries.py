@@ -42,14 +42,15 @@ P = """WITH p AS (SELECT o_orderkey, c_mktsegment AS family, o_orderpriority AS
  (year(o_orderdate) * 4 + quarter(o_orderdate) - 1)::INT AS qi, o_orderdate, o_totalprice, o_custkey, c_nationkey FROM orders JOIN customer ON o_custkey = c_custkey),
  l AS (SELECT l_orderkey AS o_orderkey, p_brand AS skill, l_returnflag, l_discount, l_suppkey FROM lineitem JOIN part ON l_partkey = p_partkey)"""
 RATES = """, n AS (SELECT family, level, qi, count(*) AS n FROM p GROUP BY ALL HAVING count(*) >= 10),
- r AS (SELECT family, level, qi, skill, count(DISTINCT o_orderkey) AS evidence, any_value(n) AS n, round(count(DISTINCT o_orderkey) / any_value(n), 4) AS rate
+ r AS (SELECT family, level, qi, skill, count(DISTINCT o_orderkey) AS evidence, any_value(n) AS n, round(count(DISTINCT o_orderkey) / any_value(n), 4) AS rate,
+  CASE WHEN 2 * count(DISTINCT CASE WHEN l_returnflag = 'R' THEN o_orderkey END) >= count(DISTINCT o_orderkey) THEN 'required' ELSE 'preferred' END AS requirement
   FROM p JOIN l USING (o_orderkey) JOIN n USING (family, level, qi) GROUP BY family, level, qi, skill)"""
 EVOLVED = RATES + """, ready AS (SELECT family, level, qi FROM n WHERE n >= 20), pairs AS (SELECT a.* FROM ready a JOIN ready b ON a.family = b.family AND a.level = b.level AND b.qi = a.qi + 1),
- b AS (SELECT r.* FROM r JOIN pairs USING (family, level, qi)), a AS (SELECT r.family, r.level, r.qi - 1 AS qi, skill, rate, evidence FROM r JOIN pairs x ON r.family = x.family AND r.level = x.level AND r.qi - 1 = x.qi),
+ b AS (SELECT r.* FROM r JOIN pairs USING (family, level, qi)), a AS (SELECT r.family, r.level, r.qi - 1 AS qi, skill, rate, evidence, requirement FROM r JOIN pairs x ON r.family = x.family AND r.level = x.level AND r.qi - 1 = x.qi),
  e AS (SELECT coalesce(b.family, a.family) AS family, coalesce(b.level, a.level) AS level, coalesce(b.qi, a.qi) AS qi, coalesce(b.skill, a.skill) AS skill, coalesce(b.rate, 0) AS before, coalesce(a.rate, 0) AS after,
-  coalesce(b.evidence, 0) AS ev_before, coalesce(a.evidence, 0) AS ev_after FROM b FULL JOIN a ON b.family = a.family AND b.level = a.level AND b.qi = a.qi AND b.skill = a.skill),
+  coalesce(b.evidence, 0) AS ev_before, coalesce(a.evidence, 0) AS ev_after, b.requirement AS req_before, a.requirement AS req_after FROM b FULL JOIN a ON b.family = a.family AND b.level = a.level AND b.qi = a.qi AND b.skill = a.skill),
  c AS (SELECT *, CASE WHEN before < 0.05 AND after >= 0.15 AND round(after - before, 6) >= 0.10 AND ev_after >= 3 THEN 'added' WHEN before >= 0.15 AND after < 0.05 AND round(after - before, 6) <= -0.10 AND ev_before >= 3 THEN 'removed'
-  WHEN before >= 0.05 AND after >= 0.05 AND abs(round(after - before, 6)) >= 0.10 THEN 'modified' ELSE 'none' END AS change FROM e)"""
+  WHEN before >= 0.05 AND after >= 0.05 AND (abs(round(after - before, 6)) >= 0.10 OR (req_before <> req_after AND ev_after >= 3)) THEN 'modified' ELSE 'none' END AS change FROM e)"""
 
 
 @query(P + " SELECT family, level, period, count(*) AS n, (sum(round(o_totalprice * 100)::BIGINT) // count(*))::DOUBLE / 100 AS mean_measure, min(o_orderdate) AS first_at, max(o_orderdate) AS last_at, CASE WHEN count(*) < 10 THEN 'insufficient' WHEN count(*) < 20 THEN 'low_sample' ELSE 'ready' END AS status FROM p GROUP BY family, level, period")
@@ -57,21 +58,21 @@ def quarterly_profiles(s, d):
     return profiles.slices(postings(s, d), ["family", "level", "period"], "o_orderkey", "o_totalprice", "o_orderdate")
 
 
-@query(P + RATES + " SELECT family, level, qi, skill, evidence, n, rate FROM r")
+@query(P + RATES + " SELECT family, level, qi, skill, evidence, n, rate, requirement FROM r")
 def slice_skill_prevalence(s, d):
-    return profiles.prevalence(postings(s, d), links(s, d), ["family", "level", "qi"], "o_orderkey", "skill").select("family", "level", "qi", "skill", "evidence", "n", "rate")
+    return profiles.prevalence(postings(s, d), links(s, d), ["family", "level", "qi"], "o_orderkey", "skill", required=F.col("l_returnflag") == "R").select("family", "level", "qi", "skill", "evidence", "n", "rate", "requirement")
 
 
 def _evolved(s, d):
     r = postings(s, d)
-    rates = profiles.prevalence(r, links(s, d), ["family", "level", "qi"], "o_orderkey", "skill")
+    rates = profiles.prevalence(r, links(s, d), ["family", "level", "qi"], "o_orderkey", "skill", required=F.col("l_returnflag") == "R")
     sizes = r.groupBy("family", "level", "qi").agg(F.count("*").alias("n")).where(F.col("n") >= profiles.READY)
     return profiles.evolve(rates, sizes, ["family", "level"], "qi", "skill")
 
 
-@query(P + EVOLVED + " SELECT family, level, qi, skill, before, after, ev_before, ev_after, change FROM c WHERE change <> 'none'")
+@query(P + EVOLVED + " SELECT family, level, qi, skill, before, after, ev_before, ev_after, req_before, req_after, change FROM c WHERE change <> 'none'")
 def adjacent_evolution(s, d):
-    return _evolved(s, d).where("change <> 'none'").select("family", "level", "qi", "skill", "before", "after", "ev_before", "ev_after", "change")
+    return _evolved(s, d).where("change <> 'none'").select("family", "level", "qi", "skill", "before", "after", "ev_before", "ev_after", "req_before", "req_after", "change")
 
 
 @query(P + EVOLVED + " SELECT change, count(*) AS n FROM c GROUP BY change")

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.functions.dates import ntz_seconds
+from skein.functions import fields
 from skein.functions.text import without_contacts
 from skein.operators import instants, profiles, retrieval
 from skein.session import materialise
@@ -37,39 +37,67 @@ def docs(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "documents")
 
 
-@query("""WITH x AS (SELECT doc_id, sha256(regexp_replace(lower(text), '[^a-z0-9]+', '', 'g')) AS h FROM documents WHERE text IS NOT NULL) SELECT h, count(*) AS copies, min(doc_id) AS first_id FROM x GROUP BY h HAVING count(*) > 1""")
+@query("""WITH x AS (SELECT doc_id, translate(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', '', 'g'), '和及与', '') AS w FROM documents WHERE text IS NOT NULL) SELECT sha256(w) AS h, count(*) AS copies, min(doc_id) AS first_id FROM x WHERE w <> '' GROUP BY w HAVING count(*) > 1""")
 def content_hash_dups(s, d):
-    h = F.sha2(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", ""), 256)
-    return docs(s, d).where("text IS NOT NULL").groupBy(h.alias("h")).agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id")).where("copies > 1")
+    """Texts of equal wording; texts without any letter or digit have none."""
+    w = fields.wording(F.col("text"))
+    x = docs(s, d).where("text IS NOT NULL").select("doc_id", w.alias("w")).where("w <> ''")
+    return x.groupBy(F.sha2("w", 256).alias("h")).agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id")).where("copies > 1")
 
 
-@query("""WITH x AS (SELECT row_id, record_id, quality_score, length(job_description_raw) AS n FROM jobs), f AS (SELECT record_id, max_by(row_id, (coalesce(quality_score, -1), n, -row_id)) AS master, count(*) AS copies FROM x GROUP BY record_id HAVING count(*) > 1)
+@query("""WITH x AS (SELECT row_id, record_id, quality_score, length(job_description_raw) AS n FROM jobs), f AS (SELECT record_id, max_by(row_id, (coalesce(quality_score, -1), n, -row_id)) AS master, count(*) AS copies FROM x WHERE record_id IS NOT NULL GROUP BY record_id HAVING count(*) > 1)
  SELECT x.row_id, f.master, copies FROM x JOIN f USING (record_id) WHERE x.row_id <> f.master""")
 def dup_master(s, d):
     x = table(s, d, "jobs").select("row_id", "record_id", F.struct(F.coalesce("quality_score", F.lit(-1.0)), F.length("job_description_raw"), -F.col("row_id")).alias("worth"))
+    x = x.where("record_id IS NOT NULL")
     f = x.groupBy("record_id").agg(F.max_by("row_id", "worth").alias("master"), F.count("*").alias("copies")).where("copies > 1")
     return x.join(f, "record_id").where("row_id <> master").select("row_id", "master", "copies")
 
 
-ISSUES = """CASE WHEN record_id IS NULL OR trim(record_id) = '' THEN 'missing_record_id' END, CASE WHEN coalesce(length(regexp_replace(job_description_raw, '\\s+', '', 'g')), 0) < 40 THEN 'short_description' END,
- CASE WHEN company_name IS NULL OR trim(company_name) = '' THEN 'missing_company' END, CASE WHEN source_url IS NULL OR NOT regexp_matches(source_url, '^(?i:https?)://[^/]+') THEN 'bad_url' END, CASE WHEN coalesce(quality_score, 0) < 0.7 THEN 'low_quality' END"""
-GATED = f"WITH g AS (SELECT row_id, batch_no, list_sort(list_filter([{ISSUES}], lambda x: x IS NOT NULL)) AS issues FROM jobs)"
+#: The instant that checks of the future are made at; no plan reads a clock.
+NOW = "2026-01-01 00:00:00"
+_STAMP = "^\\d{4}-\\d{2}-\\d{2}(?:[T ]\\d{2}:\\d{2}(?::\\d{2}(?:\\.\\d{1,6})?)?(?:Z|[+-]\\d{2}:\\d{2})?)?$"
+_NEEDED = {"record_id": "missing_record_id", "job_family_id": "missing_job_family", "job_title_raw": "missing_job_title", "source_name": "missing_source_name", "collected_at": "missing_collected_at", "job_description_raw": "missing_job_description"}
+_HARD = [*_NEEDED.values(), "job_description_too_short", "invalid_published_at", "invalid_collected_at"]
+
+
+def _stamp_sql(c: str) -> str:
+    return f"CASE WHEN regexp_matches({c}, '{_STAMP}') THEN try_cast(replace(regexp_replace({c}, '(?:Z|[+-]\\d{{2}}:\\d{{2}})$', ''), 'T', ' ') AS TIMESTAMP) END"
+
+
+_CHECKS = ", ".join([
+    *[f"CASE WHEN coalesce({c}, '') = '' THEN '{code}' END" for c, code in _NEEDED.items()],
+    "CASE WHEN job_description_raw <> '' AND length(regexp_replace(job_description_raw, '[^\\p{L}\\p{N}]+', '', 'g')) < 40 THEN 'job_description_too_short' END",
+    "CASE WHEN published_at <> '' AND p IS NULL THEN 'invalid_published_at' END", "CASE WHEN collected_at <> '' AND c IS NULL THEN 'invalid_collected_at' END",
+    "CASE WHEN p > c + INTERVAL 1 DAY THEN 'published_after_collection' END", "CASE WHEN abs(floor((epoch_us(c) - epoch_us(p)) / 86400000000.0)) > 3653 THEN 'published_collection_gap_too_large' END",
+    f"CASE WHEN p > TIMESTAMP '{NOW}' + INTERVAL 1 DAY THEN 'future_published_at' END",
+    "CASE WHEN trim(coalesce(source_url, '')) = '' THEN 'missing_source_url' WHEN NOT regexp_matches(trim(source_url), '^(?i:https?)://[^/?#]+') THEN 'invalid_source_url' END",
+    "CASE WHEN coalesce(quality_score, 0) < 0.7 THEN 'low_quality_score' END",
+])
+GATED = f"WITH s AS (SELECT *, {_stamp_sql('published_at')} AS p, {_stamp_sql('collected_at')} AS c FROM jobs), g AS (SELECT row_id, batch_no, list_sort(list_filter([{_CHECKS}], lambda x: x IS NOT NULL)) AS issues FROM s)"
 
 
 def _gated(s, d):
-    j = table(s, d, "jobs")
-    blank = lambda c: F.col(c).isNull() | (F.trim(c) == "")
-    chars = F.coalesce(F.length(F.regexp_replace("job_description_raw", r"\s+", "")), F.lit(0))
+    """The findings of each row: what is missing, too short, no time, out of order or not an address."""
+    stamp = lambda c: F.when(F.col(c).rlike(_STAMP), F.expr(f"try_cast(replace(regexp_replace({c}, '(?:Z|[+-][0-9]{{2}}:[0-9]{{2}})$', ''), 'T', ' ') AS timestamp_ntz)"))
+    j = table(s, d, "jobs").select("*", stamp("published_at").alias("p"), stamp("collected_at").alias("c"))
+    blank = lambda c: F.coalesce(c, F.lit("")) == ""
+    address = F.trim("source_url")
+    gap = F.floor((ntz_seconds(F.col("c")) - ntz_seconds(F.col("p"))) / 86400)
     issues = F.array(
-        F.when(blank("record_id"), "missing_record_id"), F.when(chars < 40, "short_description"), F.when(blank("company_name"), "missing_company"),
-        F.when(F.col("source_url").isNull() | ~F.col("source_url").rlike(r"^(?i:https?)://[^/]+"), "bad_url"), F.when(F.coalesce("quality_score", F.lit(0.0)) < 0.7, "low_quality"),
+        *[F.when(blank(c), code) for c, code in _NEEDED.items()],
+        F.when((F.col("job_description_raw") != "") & (F.length(F.regexp_replace("job_description_raw", r"[^\p{L}\p{N}]+", "")) < 40), "job_description_too_short"),
+        F.when((F.col("published_at") != "") & F.col("p").isNull(), "invalid_published_at"), F.when((F.col("collected_at") != "") & F.col("c").isNull(), "invalid_collected_at"),
+        F.when(F.col("p") > F.col("c") + F.expr("INTERVAL '1' DAY"), "published_after_collection"), F.when(F.abs(gap) > 3653, "published_collection_gap_too_large"),
+        F.when(F.col("p") > F.expr(f"TIMESTAMP_NTZ '{NOW}' + INTERVAL '1' DAY"), "future_published_at"),
+        F.when(blank(address), "missing_source_url").when(~address.rlike(r"^(?i:https?)://[^/?#]+"), "invalid_source_url"), F.when(F.coalesce("quality_score", F.lit(0.0)) < 0.7, "low_quality_score"),
     )
     return j.select("row_id", "batch_no", F.array_sort(F.array_compact(issues)).alias("issues"))
 
 
-@query(GATED + " SELECT row_id, array_to_string(issues, ',') AS issues, CASE WHEN list_contains(issues, 'missing_record_id') OR list_contains(issues, 'short_description') THEN 'quarantined' WHEN len(issues) > 0 THEN 'review' ELSE 'valid' END AS status FROM g")
+@query(GATED + f" SELECT row_id, array_to_string(issues, ',') AS issues, CASE WHEN list_has_any(issues, {_HARD}) THEN 'quarantined' WHEN len(issues) > 0 THEN 'review' ELSE 'valid' END AS status FROM g")
 def quality_gate(s, d):
-    hard = F.arrays_overlap("issues", F.array(F.lit("missing_record_id"), F.lit("short_description")))
+    hard = F.arrays_overlap("issues", F.array(*[F.lit(x) for x in _HARD]))
     return _gated(s, d).select("row_id", F.array_join("issues", ",").alias("issues"), F.when(hard, "quarantined").when(F.size("issues") > 0, "review").otherwise("valid").alias("status"))
 
 
@@ -78,38 +106,23 @@ def gate_issue_counts(s, d):
     return _gated(s, d).select("batch_no", F.explode("issues").alias("issue")).groupBy("issue").agg(F.count("*").alias("n"), F.count_distinct("batch_no").alias("batches"))
 
 
-@query("""SELECT row_id, round(0.45 * CASE source_type WHEN 'company_official' THEN 1.0 WHEN 'public_service' THEN 0.95 WHEN 'authorized_export' THEN 0.9 ELSE 0.65 END
- + 0.30 * ((industry IS NOT NULL)::INT + (region IS NOT NULL)::INT + (salary_range IS NOT NULL)::INT + (experience_requirement IS NOT NULL)::INT + (education_requirement IS NOT NULL)::INT + (published_at IS NOT NULL)::INT) / 6
- + 0.25 * least(coalesce(length(job_description_raw), 0) / 500, 1), 4) AS score FROM jobs""")
+# How far a kind of source is trusted.
+SOURCE_SCORES = {
+    "company_official": 0.95, "occupation_standard": 1.0, "technical_standard": 0.98, "policy_document": 0.95, "official_document": 0.92, "public_recruitment": 0.85,
+    "university_recruitment": 0.8, "authorized_platform": 0.8, "open_dataset": 0.75, "public": 0.7,
+}
+_COMPLETE = ("company_name", "industry", "region", "published_at", "experience_requirement", "education_requirement")
+
+
+@query("SELECT row_id, round(0.45 * CASE source_type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in SOURCE_SCORES.items()) + " ELSE 0.65 END + 0.30 * (" + " + ".join(f"(coalesce({c}, '') <> '')::INT" for c in _COMPLETE) + ") / 6 + 0.25 * least(coalesce(length(job_description_raw), 0) / 500, 1), 4) AS score FROM jobs")
 def quality_score(s, d):
-    kind = F.when(F.col("source_type") == "company_official", 1.0).when(F.col("source_type") == "public_service", 0.95).when(F.col("source_type") == "authorized_export", 0.9).otherwise(0.65)
-    filled = reduce(lambda a, b: a + b, [F.col(c).isNotNull().cast("int") for c in ("industry", "region", "salary_range", "experience_requirement", "education_requirement", "published_at")])
+    scores = F.create_map(*[F.lit(x) for kv in SOURCE_SCORES.items() for x in kv])
+    filled = reduce(lambda a, b: a + b, [(F.coalesce(c, F.lit("")) != "").cast("int") for c in _COMPLETE])
     size = F.least(F.coalesce(F.length("job_description_raw"), F.lit(0)) / 500, F.lit(1.0))
-    return table(s, d, "jobs").select("row_id", F.round(0.45 * kind + 0.30 * filled / 6 + 0.25 * size, 4).alias("score"))
+    return table(s, d, "jobs").select("row_id", F.round(0.45 * F.coalesce(scores[F.col("source_type")], F.lit(0.65)) + 0.30 * filled / 6 + 0.25 * size, 4).alias("score"))
 
 
 LEXICON = {"Kafka": ["kafka"], "Docker": ["docker"], "Node.js": ["node.js", "nodejs"], "C++": ["c++"], "SQL": ["sql"], "Python": ["python"], "Rust": ["rust"], "Git": ["git"]}
-_ALIASES = [(k, a) for k, v in LEXICON.items() for a in v]
-_HITS = " UNION ALL ".join(f"SELECT doc_id, '{k}' AS skill, '{a}' AS alias, instr(lower(text), '{a}') AS pos, text FROM documents WHERE contains(lower(text), '{a}')" for k, a in _ALIASES)
-
-
-@query(f"""WITH h AS ({_HITS}) SELECT doc_id, skill, min_by(alias, (pos, -length(alias))) AS alias, min(pos)::INT AS pos, CASE WHEN min_by(alias, (pos, -length(alias))) = lower(skill) THEN 0.92 ELSE 0.86 END AS confidence FROM h GROUP BY doc_id, skill""")
-def lexicon_extraction(s, d):
-    low = F.lower("text")
-    hits = F.array(*[F.struct(F.lit(k).alias("skill"), F.lit(a).alias("alias"), F.instr(low, a).alias("pos")) for k, a in _ALIASES])
-    h = docs(s, d).select("doc_id", F.explode(F.filter(hits, lambda x: x["pos"] > 0)).alias("h")).select("doc_id", "h.*")
-    g = h.groupBy("doc_id", "skill").agg(F.min_by("alias", F.struct("pos", -F.length("alias"))).alias("alias"), F.min("pos").alias("pos"))
-    return g.withColumn("confidence", F.when(F.col("alias") == F.lower("skill"), 0.92).otherwise(0.86))
-
-
-@query("""WITH p AS (SELECT row_id, unnest(regexp_extract_all(job_description_raw, '[^。；;\\n]{8,180}')) AS part, generate_subscripts(regexp_extract_all(job_description_raw, '[^。；;\\n]{8,180}'), 1) AS spot FROM jobs),
- m AS (SELECT row_id, spot, trim(part) AS part FROM p WHERE regexp_matches(part, '负责|参与|推动|主导|统筹')), u AS (SELECT *, row_number() OVER (PARTITION BY row_id, part ORDER BY spot) AS again FROM m)
- SELECT row_id, part, row_number() OVER (PARTITION BY row_id ORDER BY spot) AS rank FROM u WHERE again = 1 QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY spot) <= 12""")
-def responsibility_sentences(s, d):
-    parts = F.regexp_extract_all("job_description_raw", F.lit(r"[^。；;\n]{8,180}"), F.lit(0))
-    p = table(s, d, "jobs").select("row_id", F.posexplode(parts).alias("at", "part")).where(F.col("part").rlike("负责|参与|推动|主导|统筹")).withColumn("part", F.trim("part"))
-    once = p.groupBy("row_id", "part").agg(F.min("at").alias("at"))
-    return retrieval.rank_within(once, ["row_id"], F.asc("at")).where("rank <= 12").select("row_id", "part", "rank")
 
 
 TOKENS = ["feature", "store", "python", "runbook", "监控", "结算网关"]
@@ -167,14 +180,6 @@ def hybrid_topk(s, d):
     return x.orderBy(F.desc("score"), "doc_id").limit(50)
 
 
-@query("""WITH x AS (SELECT vec_id, label, list_sum(list_transform(range(1, 65), lambda i: CASE WHEN embedding[i] >= 0 AND i < 64 THEN 1::BIGINT << (i - 1) ELSE 0 END))::BIGINT AS bits FROM embeddings), y AS (SELECT label, bits, min(vec_id) AS first FROM x GROUP BY label, bits)
- SELECT a.label, a.first AS a, b.first AS b, bit_count(xor(a.bits, b.bits))::INT AS distance FROM y a JOIN y b ON a.label = b.label AND a.first < b.first WHERE bit_count(xor(a.bits, b.bits)) <= 8""")
-def simhash_pairs(s, d):
-    sign = F.aggregate(F.transform("embedding", lambda v, i: F.when((v >= 0) & (i < 63), F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint"))), F.lit(0).cast("bigint"), lambda a, v: a + v)
-    e = table(s, d, "embeddings").select("vec_id", "label", sign.alias("bits"))
-    return retrieval.hamming_pairs(e, "vec_id", "label", "bits").select("label", "a", "b", "distance")
-
-
 def signed_jobs(s: SparkSession, d: str) -> DataFrame:
     """(row_id, family, bits) of the postings with a text; rows without a family are one family."""
     j = table(s, d, "jobs").where("job_description_raw IS NOT NULL")
@@ -220,12 +225,6 @@ def revision_numbers(s, d):
     return retrieval.rank_within(once, ["user_id"], F.asc("ts"), F.asc("event_id"), name="revision").select("user_id", "event_id", "revision")
 
 
-@query("SELECT user_id, event_id, ts FROM (SELECT *, max(ts) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest FROM events) WHERE ts < newest")
-def late_rows(s, d):
-    w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)
-    return table(s, d, "events").withColumn("newest", F.max("ts").over(w)).where("ts < newest").select("user_id", "event_id", "ts")
-
-
 @query("SELECT record_id, min(first_seen_at) AS first_seen, max(last_seen_at) AS last_seen, count(*) AS observations FROM jobs GROUP BY record_id")
 def first_last_seen(s, d):
     return table(s, d, "jobs").groupBy("record_id").agg(F.min("first_seen_at").alias("first_seen"), F.max("last_seen_at").alias("last_seen"), F.count("*").alias("observations"))
@@ -298,15 +297,14 @@ def contact_redaction(s, d):
     return docs(s, d).where("text IS NOT NULL").select("doc_id", without_contacts(F.col("text")).alias("text"))
 
 
-@query("""WITH x AS (SELECT row_id, lower(regexp_extract(source_url, '^(?i:(https?))://([^/?#:]+)', 2)) AS host, lower(regexp_extract(source_url, '^(?i:(https?))://', 1)) AS scheme, regexp_extract(source_url, '^[^:]+://[^/?#]+([^?#]*)', 1) AS path, regexp_extract(source_url, '\\?([^#]*)', 1) AS q FROM jobs
- WHERE regexp_matches(source_url, '^(?i:https?)://[^/]+')) SELECT row_id, scheme || '://' || rtrim(host, '.') || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN q = '' THEN '' ELSE '?' || array_to_string(list_sort(string_split(q, '&')), '&') END AS url FROM x""")
+_URL = "^(?i:(https?))://(?:[^/?#@]*@)?([^/?#:@]+)(?::(\\d*))?(/[^?#]*)?(?:\\?([^#]*))?(?:#.*)?$"
+
+
+@query(f"""WITH x AS (SELECT row_id, lower(regexp_extract(source_url, '{_URL}', 1)) AS scheme, lower(regexp_extract(source_url, '{_URL}', 2)) AS host, regexp_extract(source_url, '{_URL}', 3) AS port, regexp_extract(source_url, '{_URL}', 4) AS path,
+ list_sort(list_transform(list_filter(string_split(regexp_extract(source_url, '{_URL}', 5), '&'), lambda p: p <> ''), lambda p: CASE WHEN contains(p, '=') THEN p ELSE p || '=' END)) AS q FROM jobs WHERE regexp_matches(source_url, '{_URL}'))
+ SELECT row_id, scheme || '://' || host || CASE WHEN port = '' OR (scheme = 'http' AND port = '80') OR (scheme = 'https' AND port = '443') THEN '' ELSE ':' || port END || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN len(q) = 0 THEN '' ELSE '?' || replace(array_to_string(q, '&'), '%20', '+') END AS url FROM x""")
 def url_canonical(s, d):
-    u = F.col("source_url")
-    g = lambda p, i: F.regexp_extract(u, p, i)
-    host, scheme = F.lower(g(r"^(?i:(https?))://([^/?#:]+)", 2)), F.lower(g(r"^(?i:(https?))://", 1))
-    path, q = g(r"^[^:]+://[^/?#]+([^?#]*)", 1), g(r"\?([^#]*)", 1)
-    end = F.when(q == "", "").otherwise(F.concat(F.lit("?"), F.array_join(F.array_sort(F.split(q, "&")), "&")))
-    return table(s, d, "jobs").where(u.rlike(r"^(?i:https?)://[^/]+")).select("row_id", F.concat(scheme, F.lit("://"), F.rtrim(host, F.lit(".")), F.when(path == "", "/").otherwise(path), end).alias("url"))
+    return table(s, d, "jobs").select("row_id", fields.url(F.col("source_url")).alias("url")).where("url IS NOT NULL")
 
 
 @query("""WITH x AS (SELECT row_id, rtrim(lower(regexp_extract(source_url, '^(?i:https?)://([^/?#:]+)', 1)), '.') AS host FROM jobs WHERE source_url IS NOT NULL) SELECT row_id, max_by(source_id, length(source_domain)) AS source_id FROM x JOIN job_source ON host = source_domain OR ends_with(host, '.' || source_domain) GROUP BY row_id""")
@@ -325,11 +323,14 @@ def repair_audit(s, d):
     return table(s, d, "jobs").select("row_id", F.inline(fixes)).where("NOT (before <=> after)")
 
 
-@query("""WITH x AS (SELECT row_id, source_record_id, CASE WHEN record_id IS NULL THEN 'quarantine' WHEN coalesce(published_at_confidence, 0) < 0.5 THEN 'review' ELSE 'staged' END AS destination, row_number() OVER (PARTITION BY source_record_id ORDER BY row_id) AS again FROM jobs) SELECT row_id, destination FROM x WHERE again = 1""")
+@query("""WITH x AS (SELECT row_id, source_record_id, CASE WHEN record_id IS NULL THEN 'quarantine' WHEN coalesce(published_at_confidence, 0) < 0.5 THEN 'review' ELSE 'staged' END AS destination FROM jobs)
+ SELECT row_id, destination FROM x WHERE source_record_id IS NULL UNION ALL SELECT min(row_id), min_by(destination, row_id) FROM x WHERE source_record_id IS NOT NULL GROUP BY source_record_id""")
 def staging_route(s, d):
+    """The first row of each source record, by destination; rows without an identifier are each their own."""
     route = F.when(F.col("record_id").isNull(), "quarantine").when(F.coalesce("published_at_confidence", F.lit(0.0)) < 0.5, "review").otherwise("staged")
     x = table(s, d, "jobs").select("row_id", "source_record_id", route.alias("destination"))
-    return profiles.latest(x, ["source_record_id"], F.asc("row_id")).select("row_id", "destination")
+    once = x.where("source_record_id IS NOT NULL").groupBy("source_record_id").agg(F.min("row_id").alias("row_id"), F.min_by("destination", "row_id").alias("destination"))
+    return x.where("source_record_id IS NULL").select("row_id", "destination").unionByName(once.select("row_id", "destination"))
 
 
 @query("""WITH a AS (SELECT DISTINCT region FROM jobs WHERE batch_no % 2 = 0 AND region IS NOT NULL), b AS (SELECT DISTINCT region FROM jobs WHERE batch_no % 2 = 1 AND region IS NOT NULL)
@@ -373,14 +374,6 @@ def jsonl_scan(s, d):
     return p.agg(F.count("*").alias("lines"), F.count_if("readable").alias("readable"), F.count_distinct("file_name").alias("files"))
 
 
-@query("""SELECT row_id, CASE WHEN regexp_matches(lower(job_title_raw), '首席|资深|高级|senior|lead|principal|专家') THEN 'senior' WHEN regexp_matches(lower(job_title_raw), '初级|见习|实习|junior') THEN 'junior' WHEN experience_requirement = '应届' THEN 'junior' WHEN experience_requirement IN ('5-10年') THEN 'senior'
- WHEN experience_requirement IN ('3-5年', '2年以上') THEN 'mid' ELSE 'unspecified' END AS level FROM jobs""")
-def seniority(s, d):
-    t, e = F.lower("job_title_raw"), F.col("experience_requirement")
-    level = F.when(t.rlike("首席|资深|高级|senior|lead|principal|专家"), "senior").when(t.rlike("初级|见习|实习|junior"), "junior").when(e == "应届", "junior").when(e == "5-10年", "senior").when(e.isin("3-5年", "2年以上"), "mid")
-    return table(s, d, "jobs").select("row_id", F.coalesce(level, F.lit("unspecified")).alias("level"))
-
-
 TIERS = [("1", "北京|上海|广州|深圳"), ("2", "杭州|成都|武汉|南京|西安|重庆|苏州|天津")]
 
 
@@ -435,21 +428,6 @@ def offset_paging(s, d):
     return retrieval.rank_within(docs(s, d), ["doc_kind"], F.desc_nulls_last("n_chars"), F.asc("doc_id")).where("rank BETWEEN 3 AND 7").select("doc_kind", "lang", "doc_id")
 
 
-@query()
-def html_text(s, d):
-    """Readable text of markup: unknown tags stay, known ones go, entities are resolved."""
-
-    @F.pandas_udf("string")
-    def plain(texts: pd.Series) -> pd.Series:
-        import html
-        import re
-
-        known = re.compile(r"</?(?:b|i|p|br|div|span|li|ul|ol|a|h\d|strong|em)\b[^>\n]*>", re.I)
-        return texts.map(lambda t: html.unescape(known.sub("", t)), na_action="ignore")
-
-    return docs(s, d).where(F.contains("text", F.lit("<"))).select("doc_id", plain("text").alias("text"))
-
-
 @query()
 def resume_parse(s, d):
     """Résumés: headings, longest experience in years, tools named, and quantified results."""

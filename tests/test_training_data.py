@@ -5,6 +5,7 @@ import json
 from zoneinfo import ZoneInfo
 
 import pytest
+from pyspark.sql import functions as F
 
 from skein.operators import drift, instants, pay
 
@@ -20,6 +21,10 @@ def lines(spark, files):
     return spark.createDataFrame(rows, LINES)
 
 
+def changes(df):
+    return drift.drift(drift.ingest(df, {"boss_jobs": {"id": ("posting_id", "text"), "title": ("title", "text")}}))
+
+
 def titles(k):
     return ["数据工程师", "测试工程师", "运维专家", "前端开发", "后端开发"][k % 5]
 
@@ -28,25 +33,41 @@ def test_drift_reports_each_kind_of_change(spark):
     one = [{"id": k, "title": titles(k), "city": "北京", "pay": f"{k}K"} for k in range(10)]
     two = [{"id": k, "name": {"name": titles(k + 1)}, "city": ["北京"], "remote": True} for k in range(10)]
     bad = ['{"id": 1', None, "", "[1]", '{"id": 1} {"id": 2}', '{"id": 1} x']
-    got = {(r.change_kind, r.old_field, r.new_field) for r in drift.drift(lines(spark, {1: one, 3: two + bad})).collect()}
+    got = {(r.change_kind, r.old_field, r.new_field) for r in changes(lines(spark, {1: one, 3: two + bad})).collect()}
     assert got == {("renamed", "title", "name"), ("type_changed", "title", "name"), ("type_changed", "city", "city"), ("removed", "pay", ""), ("added", "", "remote")}
 
 
 def test_drift_of_nothing(spark):
-    assert drift.drift(lines(spark, {1: [{"a": 1}]})).count() == 0
-    assert drift.drift(lines(spark, {1: [None, ""]})).count() == 0
-    assert drift.drift(lines(spark, {})).count() == 0
+    assert changes(lines(spark, {1: [{"a": 1}]})).count() == 0
+    assert changes(lines(spark, {1: [None, ""]})).count() == 0
+    assert changes(lines(spark, {})).count() == 0
 
 
 def test_rescued_values_are_replayed_and_nothing_is_lost(spark):
-    targets = {"boss_jobs": {"title": "title", "city": "city"}}
+    targets = {"boss_jobs": {"title": ("title", "text"), "city": ("city", "text")}}
     files = {1: [{"title": titles(k), "city": "北京"} for k in range(6)], 2: [{"职位": titles(k), "city": ["上海"], "x": {"y": k}} for k in range(6)] + ["broken"]}
-    df = lines(spark, files)
-    held = drift.ingest(df, targets)
-    out = drift.replay(held, drift.promotions(drift.drift(df), targets), targets).orderBy("row_id").collect()
+    held = drift.ingest(lines(spark, files), targets)
+    found = drift.drift(held)
+    out = drift.replay(held, drift.promotions(found, targets), targets).orderBy("row_id").collect()
     assert [r.title for r in out] == [titles(k) for k in range(6)] * 2 + [None]
     assert [r.city for r in out] == ["北京"] * 6 + ["上海"] * 6 + [None]
     assert json.loads(out[6].rescued) == {"x": {"y": 0}} and out[0].rescued is None and not out[12].readable
+    # A rename that the register refuses stays rescued.
+    register = spark.createDataFrame([("boss_jobs", "title", "职位", False)], "table_name string, old_field string, new_field string, approved boolean")
+    out = drift.replay(held, drift.promotions(found, targets, register), targets).orderBy("row_id").collect()
+    assert [r.title for r in out][6:] == [None] * 7 and json.loads(out[6].rescued) == {"x": {"y": 0}, "职位": titles(0)}
+
+
+def test_kinds_are_enforced_and_uncastable_values_rescued(spark):
+    targets = {"boss_jobs": {"n": ("n", "number"), "count": ("n", "number"), "at": ("at", "timestamp")}}
+    rows = [{"n": 3}, {"n": "4.5"}, {"n": "many"}, {"n": 1, "count": 2}, {"count": "7", "at": "2025-11-08T06:07:43+09:00"}, {"at": "2025年11月06日下午4点57分"}, {"at": "soon", "n": None}, {"n": [5]}]
+    held = drift.ingest(lines(spark, {1: rows}), targets)
+    zones = held.select("table_name", "row_id", F.lit("Asia/Shanghai").alias("zone"))
+    none = spark.createDataFrame([], "table_name string, account_id string, field string, target string")
+    out = drift.replay(held, none, targets, zones).orderBy("row_id").collect()
+    assert [r.n for r in out] == [3.0, 4.5, None, 2.0, 7.0, None, None, 5.0]
+    assert [r["at"].isoformat() if r["at"] else None for r in out][4:7] == ["2025-11-07T21:07:43", "2025-11-06T08:57:00", None]
+    assert [json.loads(r.rescued) if r.rescued else None for r in out] == [None, None, {"n": "many"}, {"n": 1}, None, None, {"at": "soon", "n": None}, None]
 
 
 CASES = [
