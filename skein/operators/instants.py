@@ -163,7 +163,7 @@ def estimate_zones(df: DataFrame, value: str, seen: str, clock: str, candidates:
 
     ``seen`` is the row's time of ingestion (epoch seconds). Under each candidate's offset history a row
     without an offset is a violation if its wall time is one the zone skips, if it lies after its ingestion, or more
-    than ``max_lag_days`` before it; a row that does state an offset (other than UTC, which any clock may write)
+    than ``max_lag_days`` before it; a row that does state an offset (other than by Z, UTC or GMT, which any clock may write)
     is one if the candidate had another offset then. The history with the fewest violations is chosen;
     histories that agree at all times observed are one, named by the first candidate. Where different ones tie, the
     one under which most rows were ingested within an hour is chosen if those are NEAR of the rows or more: then
@@ -178,7 +178,7 @@ def estimate_zones(df: DataFrame, value: str, seen: str, clock: str, candidates:
     edge = 16 * 4  # beyond sixteen hours no offset makes a difference
     lag = F.floor((F.col("seen") - F.col("__wall")) / QUARTER)
     late = (F.col("seen") - F.col("__wall")) > max_lag_days * DAY
-    facts = p.where("__minutes IS NULL OR __minutes <> 0").select(
+    facts = p.where(F.col("__minutes").isNull() | (F.col("__minutes") != 0) | ~F.col("v").rlike(r"(?i)(?:Z|UTC|GMT)[)\s]*$")).select(
         "clock", F.floor(F.col("__wall") / 3600).alias("hour"), F.col("__minutes").alias("minutes"),
         F.when(F.col("__minutes").isNull(), F.when(late, edge + 1).otherwise(F.least(lag, F.lit(edge)))).cast("int").alias("lag"),
     ).where("minutes IS NOT NULL OR lag IS NOT NULL").groupBy("clock", "hour", "minutes", "lag").agg(F.count("*").alias("n"))
