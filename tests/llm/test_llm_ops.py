@@ -268,3 +268,35 @@ def test_first_rows(spark):
     edges = [(5, 4), (4, 3), (9, 8), (3, 1), (8, 7), (7, 6), (6, 9), (2, 2)] + [(k, k - 1) for k in range(20, 60)]
     got = {r.row_id: r["first"] for r in history.first_rows(spark.createDataFrame(edges, "row_id bigint, other bigint")).collect()}
     assert got == {5: 1, 4: 1, 3: 1, 7: 6, 8: 6, 9: 6} | {k: 19 for k in range(20, 60)}
+
+
+def test_sentence_probes_and_linear_time():
+    import time
+
+    cases = {
+        "Gen. Smith led it. He won.": ["Gen. Smith led it.", "He won."], "It began in Feb. 2020. Then more.": ["It began in Feb. 2020.", "Then more."],
+        "Потом проф. Иванов пришёл. Он ушёл.": ["Потом проф. Иванов пришёл.", "Он ушёл."], "好吧……我们继续。": ["好吧……", "我们继续。"], "熟悉监控……等体系。": ["熟悉监控……等体系。"],
+        "Latency is 5 ms. Then it rose.": ["Latency is 5 ms.", "Then it rose."], "See <b>x.</b> Next one.": ["See <b>x.</b>", "Next one."],
+    }
+    for text, want in cases.items():
+        assert [text[a:b] for a, b in sentences.sentences(text)] == want
+    took = []
+    for n in (20_000, 160_000):
+        began = time.process_time()
+        for t in ("（" * n + "。" + "x" * n, "a." * n, "「」" * n, "x" * n + ". y", '"' * n):
+            sentences.sentences(t)
+        took.append(time.process_time() - began)
+    assert took[1] < 40 * max(took[0], 0.05)
+
+
+def test_general_variants_link_and_near_misses_do_not(spark):
+    groups = [
+        ["Yunrui Yunkui Electronics Ltd", "Yunrui Yunki Electronics Ltd"], ["International Business Machines Corp", "IBM Corp"],
+        ["深圳市腾讯计算机系统有限公司", "深圳腾讯计算机有限公司"], ["华夏建设", "华厦建设"],
+    ]
+    others = ["International Paper Corp", "Yunrui Yunkai Software Ltd", "深圳腾飞电子有限公司", "华东建设"]
+    df = spark.createDataFrame([(n,) for g in [*groups, others] for n in g], "name string")
+    got = {}
+    for r in names.resolve(df, {"深圳": "深圳", "北京": "北京"}).collect():
+        got.setdefault(r.cluster, set()).add(r.name)
+    assert sorted(map(sorted, got.values())) == sorted([sorted(g) for g in groups] + [[o] for o in others])
