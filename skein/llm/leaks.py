@@ -41,6 +41,8 @@ WINDOW_SHARE = 0.08
 COMMON = 0.003
 #: Share of an item's weight, its commonest shingles, that is left out of the prefix join.
 REST = 0.1
+#: Rows of the items' shingles, some 40 bytes each, up to which they are sent to every worker; more are shuffled.
+SENT_ROWS = 1 << 20
 #: Words of 64 bits in a sieve: 8 MB.
 SIEVE_WORDS = 1 << 20
 
@@ -196,6 +198,11 @@ def holders(docs: DataFrame, wanted) -> DataFrame:
     return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInPandas(run, "doc_id bigint, h bigint")
 
 
+def sent(df: DataFrame) -> DataFrame:
+    """``df`` for the small side of a join: broadcast up to SENT_ROWS rows, else as it is."""
+    return F.broadcast(df) if df.count() <= SENT_ROWS else df
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, share: float = SHARE) -> DataFrame:
     """(doc_id, item_id, share) for ``docs`` (doc_id, text) and ``items`` (item_id, passage)."""
     n_docs = docs.count()
@@ -211,10 +218,10 @@ def find_leaks(docs: DataFrame, items: DataFrame, share: float = SHARE) -> DataF
     # The prefix leaves out REST of the weight at most, so a document with the wanted share of an item
     # holds at least share - REST of it in prefix shingles. What no document holds is not looked for.
     prefix = weighed.where((F.col("before") <= (1 - REST) * F.col("total")) & (F.col("df") > 0)).select("item_id", "h", "w", "total")
-    met = holders(docs, sieve(prefix, "h")).join(prefix, "h").groupBy("doc_id", "item_id").agg((F.sum("w") / F.max("total")).alias("held"))
+    met = holders(docs, sieve(prefix, "h")).join(sent(prefix), "h").groupBy("doc_id", "item_id").agg((F.sum("w") / F.max("total")).alias("held"))
     pairs = materialise(met.where(F.col("held") >= share - REST).select("doc_id", "item_id"), "pairs")
     found = hits(docs, any_item, sieve(pairs.select("doc_id").distinct(), "doc_id"))
-    found_in = found.join(pairs, "doc_id").join(weighed.select("item_id", "h", "w", "size", "total"), ["item_id", "h"])
+    found_in = found.join(pairs, "doc_id").join(sent(weighed.select("item_id", "h", "w", "size", "total")), ["item_id", "h"])
     # Positional bound: two sets of item-sized windows, half a window apart.
     windows = found_in.select(
         "doc_id", "item_id", "h", "w", "total",
