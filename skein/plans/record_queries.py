@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from skein.functions.dates import ntz_seconds
 from skein.functions import fields
 from skein.functions.text import without_contacts
-from skein.operators import instants, profiles, retrieval
+from skein.operators import instants, profiles, resume, retrieval
 from skein.session import materialise
 from skein.sources.jsonlines import parse_lines
 from skein.sources.tables import table
@@ -122,9 +122,6 @@ def quality_score(s, d):
     return table(s, d, "jobs").select("row_id", F.round(0.45 * F.coalesce(scores[F.col("source_type")], F.lit(0.65)) + 0.30 * filled / 6 + 0.25 * size, 4).alias("score"))
 
 
-LEXICON = {"Kafka": ["kafka"], "Docker": ["docker"], "Node.js": ["node.js", "nodejs"], "C++": ["c++"], "SQL": ["sql"], "Python": ["python"], "Rust": ["rust"], "Git": ["git"]}
-
-
 TOKENS = ["feature", "store", "python", "runbook", "监控", "结算网关"]
 _SCORE = " + ".join(f"CASE WHEN contains(lower(text), '{t}') THEN 1 + 0.1 * ((length(lower(text)) - length(replace(lower(text), '{t}', ''))) // {len(t)}) ELSE 0 END" for t in TOKENS)
 
@@ -430,13 +427,18 @@ def offset_paging(s, d):
 
 @query()
 def resume_parse(s, d):
-    """Résumés: headings, longest experience in years, tools named, and quantified results."""
+    """Résumés as records: sections, work, projects, skills with their evidence, months of experience."""
+    r = docs(s, d).where("doc_kind = 'resume' AND text IS NOT NULL")
+    return resume.parse(r, "doc_id", "text", (2026, 1))
+
+
+@query("SELECT doc_id, list_max(list_transform(regexp_extract_all(text, '(\\d{1,2})\\s*(?:年|years?|Jahre|años|ans)', 1), lambda x: x::INT)) AS years, len(regexp_extract_all(text, '\\d+(?:\\.\\d+)?\\s*(?:%|percent|个百分点|倍|毫秒)'))::INT AS results FROM documents WHERE doc_kind = 'resume' AND text IS NOT NULL")
+def resume_figures(s, d):
+    """The longest time and the number of quantities a résumé states."""
     r = docs(s, d).where("doc_kind = 'resume' AND text IS NOT NULL")
     years = F.transform(F.regexp_extract_all("text", F.lit(r"(\d{1,2})\s*(?:年|years?|Jahre|años|ans)"), F.lit(1)), lambda x: x.cast("int"))
-    tools = F.filter(F.array(*[F.lit(k) for k in LEXICON]), lambda k: F.contains(F.lower("text"), F.lower(k)))
     results = F.regexp_extract_all("text", F.lit(r"\d+(?:\.\d+)?\s*(?:%|percent|个百分点|倍|毫秒)"), F.lit(0))
-    heads = F.regexp_extract_all("text", F.lit(r"(?m)^([^\n.。!！?？]{2,20})\r?\n\r?\n"), F.lit(1))
-    return r.select("doc_id", heads.alias("sections"), F.array_max(years).alias("years"), tools.alias("tools"), F.size(results).alias("results"))
+    return r.select("doc_id", F.array_max(years).alias("years"), F.size(results).alias("results"))
 
 
 @query("SELECT user_id, max(ts) AS ts, count(*) AS seen FROM events GROUP BY user_id")
