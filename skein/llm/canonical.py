@@ -1,8 +1,9 @@
 """Free-typed values mapped to the entries of a reference list.
 
 Values are deduplicated, normalised and cut into character n-grams; an inverted index over the
-reference list's n-grams gives the candidates, which a weighted cosine scores. A value is accepted if
+reference list's n-grams, written once, gives the candidates, which a weighted cosine scores. A value is accepted if
 its best entry scores ``THRESHOLD`` and beats the next entry by ``MARGIN``; the others are unmatched.
+The index goes to every worker up to SENT_ROWS rows; a larger one is shuffled.
 
 Nulls are left out; empty values are unmatched; repeated values are scored once; an empty reference
 list leaves all values unmatched; ties between entries leave a value unmatched.
@@ -10,15 +11,20 @@ list leaves all values unmatched; ties between entries leave a value unmatched.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import cache
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.functions.text import narrow, strip
+from skein.session import materialise
 
 THRESHOLD = 0.345
 MARGIN = 0.03
 #: Codes of up to so many letters and digits are matched whole: one sign more or less is another code.
 CODE_LENGTH = 4
+#: Rows of the index, some 60 bytes each, up to which it is broadcast.
+SENT_ROWS = 1 << 18
 
 # What people put around a title, a place or a family without changing what is meant.
 _AROUND = [
@@ -28,12 +34,23 @@ _AROUND = [
     r"(?i)\s+[PTMJ]\d{1,5}$",
 ]
 _PLACE = [r"^中国[-·\s]*", r"(?i),\s*china$|\s+city$", r"·.*$", r"(?<=.{2})市区$|(?<=.{2})市$", r"(?<=.{2})[省市](?=.)"]
-_SLANG = {"攻城狮": "工程师", "員": "员", "師": "师", "開": "开", "發": "发", "專": "专", "計": "计", "據": "据"}
+# Jocular names of trades.
+_SLANG = {"攻城狮": "工程师", "程序猿": "程序员", "程序媛": "程序员", "码农": "程序员", "射鸡师": "设计师", "产品汪": "产品经理", "运营喵": "运营"}
+
+
+@cache
+def simplified() -> tuple[str, str]:
+    """The traditional characters of the basic block and their simplified forms, by the transliterator that comes with the JVM's Unicode library."""
+    rule = SparkSession.getActiveSession()._jvm.com.ibm.icu.text.Transliterator.getInstance("Traditional-Simplified")
+    chars = [chr(c) for c in range(0x4E00, 0xA000)]
+    found = rule.transliterate("\n".join(chars)).split("\n")
+    pairs = [(a, b) for a, b in zip(chars, found, strict=True) if a != b and len(b) == 1]
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 
 def normalise(c: Column, kind: str) -> Column:
-    """Narrow and lower case, without trimmings; underscores and hyphens of codes become spaces."""
-    s = strip(narrow(c))
+    """Narrow, simplified and lower case, without trimmings; underscores and hyphens of codes become spaces."""
+    s = F.translate(strip(narrow(c)), *simplified())
     for k, v in _SLANG.items():
         s = F.replace(s, F.lit(k), F.lit(v))
     for p in _AROUND + (_PLACE if kind == "place" else []):
@@ -66,37 +83,40 @@ def grams(s: Column) -> Column:
     return F.array_distinct(F.when(s.rlike(r"\p{IsHan}"), F.concat(one, cut(2))).otherwise(F.concat(cut(2), three, skip, all_of)))
 
 
+def sent(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= SENT_ROWS else df
+
+
 def match(values: DataFrame, reference: DataFrame, kind: str = "text", around: list[str] | None = None) -> DataFrame:
     """(value, ref_id) of each distinct value of ``values.value``; ref_id is NONE where unmatched.
 
     ``reference`` has (ref_id, surface): every accepted spelling of every entry.
     """
-    distinct = values.where("value IS NOT NULL").select("value").distinct()
-    typed = distinct.select("value", F.explode(forms(F.col("value"), kind, around or [])).alias("form"))
     surfaces = reference.where("surface IS NOT NULL").select("ref_id", F.explode(forms(F.col("surface"), kind, around or [])).alias("form")).distinct()
-    index = surfaces.select("ref_id", "form", F.explode(grams(F.col("form"))).alias("g"))
-    n = surfaces.select("ref_id").distinct().agg(F.count("*").alias("n"))
-    spread = index.groupBy("g").agg(F.count_distinct("ref_id").alias("df"))
+    index = materialise(surfaces.select("ref_id", "form", F.explode(grams(F.col("form"))).alias("g")), "index")
+    n = index.select("ref_id").distinct().count()
     # The rarer an n-gram among the entries, the more it tells them apart; an unknown one weighs most.
-    weigh = reference.sparkSession.sql(
-        "SELECT g, ln(1 + (SELECT n FROM {n}) / df) AS w FROM {s}", n=n, s=spread
-    )
-    index = index.join(weigh, "g").withColumn("norm", F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("ref_id", "form"))))
+    weigh = index.groupBy("g").agg(F.log(1 + F.lit(float(n)) / F.count_distinct("ref_id")).alias("w"))
+    whole = Window.partitionBy("ref_id", "form")
+    index = materialise(index.join(weigh, "g").withColumn("norm", F.sqrt(F.sum(F.col("w") * F.col("w")).over(whole))), "index")
+    weigh = sent(index.select("g", "w").distinct())
+    distinct = values.where("value IS NOT NULL").select("value").distinct()
+    typed = materialise(distinct.select("value", F.explode(forms(F.col("value"), kind, around or [])).alias("form")), "forms")
     wanted = typed.select("form").distinct().select("form", F.explode(grams(F.col("form"))).alias("g"))
-    wanted = reference.sparkSession.sql(
-        "SELECT t.form, t.g, coalesce(w.w, ln(1 + (SELECT n FROM {n}))) AS w FROM {t} t LEFT JOIN {w} w ON t.g = w.g", t=wanted, w=weigh, n=n
-    )
+    wanted = wanted.join(weigh, "g", "left").withColumn("w", F.coalesce("w", F.log(1 + F.lit(float(n)))))
+    wanted = materialise(wanted, "wanted")
     size = wanted.groupBy("form").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"))
-    hits = wanted.join(index.select("g", "ref_id", F.col("form").alias("surface"), "norm"), "g")
+    hits = wanted.join(sent(index.select("g", "ref_id", F.col("form").alias("surface"), "norm")), "g")
     dots = hits.groupBy("form", "ref_id", "surface", "norm").agg(F.sum(F.col("w") * F.col("w")).alias("dot"))
     scored = dots.join(size, "form").withColumn("cosine", F.col("dot") / (F.col("norm") * F.col("size")))
     exact = F.col("form") == F.col("surface")
     short = (F.length("surface") <= CODE_LENGTH) & F.col("surface").rlike(r"^[a-z0-9]+$") & ~exact
     best = scored.where(~short).groupBy("form", "ref_id").agg(F.max(F.when(exact, 2.0).otherwise(F.col("cosine"))).alias("cosine"))
     of_value = typed.join(best, "form").groupBy("value", "ref_id").agg(F.max("cosine").alias("cosine"))
-    ranked = of_value.groupBy("value").agg(
-        F.max_by("ref_id", "cosine").alias("ref_id"), F.slice(F.sort_array(F.collect_list("cosine"), False), 1, 2).alias("top")
+    # The two best entries of a value are all that acceptance needs.
+    place = F.row_number().over(Window.partitionBy("value").orderBy(F.desc("cosine"), "ref_id"))
+    two = of_value.withColumn("r", place).where("r <= 2").groupBy("value").agg(
+        F.max(F.when(F.col("r") == 1, F.col("ref_id"))).alias("ref_id"), F.max("cosine").alias("first"), F.max(F.when(F.col("r") == 2, F.col("cosine"))).alias("second")
     )
-    first, second = F.col("top")[0], F.coalesce(F.try_element_at("top", F.lit(2)), F.lit(0.0))
-    accepted = F.when((first >= THRESHOLD) & (first - second >= MARGIN), F.col("ref_id"))
-    return distinct.join(ranked, "value", "left").select("value", F.coalesce(accepted, F.lit("NONE")).alias("ref_id"))
+    accepted = F.when((F.col("first") >= THRESHOLD) & (F.col("first") - F.coalesce("second", F.lit(0.0)) >= MARGIN), F.col("ref_id"))
+    return distinct.join(two, "value", "left").select("value", F.coalesce(accepted, F.lit("NONE")).alias("ref_id"))

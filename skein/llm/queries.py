@@ -79,5 +79,20 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.segment(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
-ORACLE: dict[str, str] = {}
+def p3_by_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeats by record identifier alone: the index over rows without descriptions."""
+    jobs = table(spark, sf_dir, "jobs").select("row_id", "batch_no", "record_id", F.lit(None).cast("string").alias("description"))
+    return history.repeats(jobs)
+
+
+def p8_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts that the ids decode to."""
+    return tokens.decode(p8_ids(spark, sf_dir)).select("doc_id", F.md5("text").alias("h"))
+
+
+QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found, "p3_by_record": p3_by_record, "p8_decoded": p8_decoded}
+ORACLE: dict[str, str] = {
+    "p3_by_record": """WITH r AS (SELECT row_id, nullif(trim(record_id, ' '), '') AS record_id FROM jobs), f AS (SELECT row_id, min(row_id) OVER (PARTITION BY record_id) AS first FROM r WHERE record_id IS NOT NULL)
+ SELECT first AS row_id_a, row_id AS row_id_b FROM f WHERE first < row_id""",
+    "p8_decoded": "SELECT doc_id, md5(coalesce(text, '')) AS h FROM documents",
+}
