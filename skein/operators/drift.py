@@ -64,15 +64,21 @@ def ingest(lines: DataFrame, targets: Targets, raw: str = "raw_line") -> DataFra
     )
     rows = rows.select(*KEYS, "readable", seen.alias("__e"))
     rows = rows.select(*KEYS, "readable", F.expr(f"transform(__e, x -> struct(x.field AS field, x.json AS json, {kind} AS type, {leaf} AS leaf))").alias("__e"))
-    of = {(t, k): v for t, m in targets.items() for k, v in m.items()}
-    known = F.create_map(*[F.lit(x) if isinstance(x, str) else x for (t, k), (c, kd) in of.items() for x in (f"{t}\t{k}", F.struct(F.lit(c).alias("target"), F.lit(kd).alias("kind")))])
-    name = lambda x: F.concat(F.col("table_name"), F.lit("\t"), x["field"])
-    simple = lambda x: x["type"].isin("string", "number") & x["leaf"].isNotNull()
-    mark = lambda x: F.when(simple(x), F.when(cast_to(known[name(x)]["kind"], x["leaf"]), known[name(x)]["target"]))
-    marked = F.array_sort(F.transform("__e", lambda x: F.struct(x["field"].alias("field"), mark(x).alias("target"), x["json"].alias("json"), x["type"].alias("type"), x["leaf"].alias("leaf"))))
-    rows = rows.select(*KEYS, "readable", marked.alias("__e"))
+    held = {t: F.create_map(*[x for k, (c, kd) in m.items() for x in (F.lit(k), F.struct(F.lit(c).alias("target"), F.lit(kd).alias("kind")))]) for t, m in targets.items() if m}
+    known = F.lit(None).cast("map<string,struct<target:string,kind:string>>")
+    for t, m in held.items():
+        known = F.when(F.col("table_name") == t, m).otherwise(known)
+    rows = rows.select(*KEYS, "readable", "__e", known.alias("__k"))
+    met = F.transform("__e", lambda x: F.struct(x["field"].alias("field"), F.col("__k")[x["field"]].alias("k"), x["json"].alias("json"), x["type"].alias("type"), x["leaf"].alias("leaf")))
+    rows = rows.select(*KEYS, "readable", met.alias("__e"))
+    fits = lambda x: F.when(x["k"].isNotNull() & x["type"].isin("string", "number") & x["leaf"].isNotNull(), F.when(cast_to(x["k"]["kind"], x["leaf"]), x["k"]["target"]))
+    marked = F.transform("__e", lambda x: F.struct(x["field"].alias("field"), fits(x).alias("target"), x["json"].alias("json"), x["type"].alias("type"), x["leaf"].alias("leaf")))
+    rows = rows.select(*KEYS, "readable", F.array_sort(marked).alias("__e"))
+    # Two keys for one target are rare; only lines that have them are searched for the first.
+    named = F.filter(F.transform("__e", lambda x: x["target"]), lambda t: t.isNotNull())
+    rows = rows.withColumn("__twice", F.size(F.array_distinct(named)) < F.size(named))
     again = lambda x, i: F.exists(F.slice(F.col("__e"), F.lit(1), i), lambda y: y["target"] == x["target"])
-    first = lambda x, i: F.coalesce(x["target"].isNotNull() & ~again(x, i), F.lit(False))
+    first = lambda x, i: x["target"].isNotNull() & F.when(F.col("__twice"), ~F.coalesce(again(x, i), F.lit(False))).otherwise(F.lit(True))
     typed = F.transform(F.filter("__e", first), lambda x: F.struct(x["target"], F.struct(x["field"].alias("field"), x["type"].alias("type"), x["leaf"].alias("leaf"))))
     rest = F.transform(F.filter("__e", lambda x, i: ~first(x, i)), lambda x: F.struct(x["field"], F.struct(x["json"].alias("json"), x["type"].alias("type"), x["leaf"].alias("leaf"))))
     return rows.select(*KEYS, "readable", F.map_from_entries(typed).alias("typed"), F.map_from_entries(rest).alias("rescued"))

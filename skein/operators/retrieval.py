@@ -54,6 +54,61 @@ def top(df: DataFrame, score: str, tie: str, limit: int) -> DataFrame:
     return df.where(F.col(score) > 0).orderBy(F.desc(score), tie).limit(max(1, min(limit, 100)))
 
 
+#: Queries that meet all rows in one pass; more make more passes.
+QUERY_BLOCK = 4096
+
+
+def top_cosine(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, score): the ``k`` rows nearest to each query by cosine, to six digits, ties by vec_id; a query does not meet itself.
+
+    ``rows`` (vec_id, embedding) and ``queries`` (query_id, q), vectors of one width; null and zero vectors have cosine 0. A stated
+    query set against all rows, in blocks: each pass sends QUERY_BLOCK queries to the workers (two megabytes for 64
+    numbers), which keep their own best ``k``, so only those are shuffled.
+    """
+    spark = rows.sparkSession
+    numbered = queries.where("query_id IS NOT NULL").select("query_id", "q").orderBy("query_id")
+    schema = "query_id bigint, vec_id bigint, score double"
+    out = None
+    last = None
+    while True:
+        part = numbered if last is None else numbered.where(F.col("query_id") > last)
+        block = part.limit(QUERY_BLOCK).toPandas()
+        if not len(block):
+            break
+        ids = block["query_id"].to_numpy()
+        width = max(len(v) for v in block["q"] if v is not None) if block["q"].notna().any() else 0
+        unit = np.array([v if v is not None else np.zeros(width) for v in block["q"]], float)
+        norm = np.linalg.norm(unit, axis=1, keepdims=True)
+        sent = spark.sparkContext.broadcast((ids, np.divide(unit, norm, out=np.zeros_like(unit), where=norm > 0)))
+
+        def run(batches, sent=sent):
+            ids, unit = sent.value
+            best = pd.DataFrame({"query_id": ids[:0], "vec_id": ids[:0], "score": np.empty(0)})
+            for b in batches:
+                b = b[b["embedding"].notna()]
+                if not len(b):
+                    continue
+                x = np.array(b["embedding"].tolist(), float)
+                size = np.linalg.norm(x, axis=1, keepdims=True)
+                score = np.round(unit @ np.divide(x, size, out=np.zeros_like(x), where=size > 0).T, 6)
+                vec = b["vec_id"].to_numpy()
+                score[ids[:, None] == vec[None, :]] = -2.0
+                # Rows beyond the k-th score of a batch are no query's best; equal ones stay for the tie.
+                cut = np.partition(score, max(0, score.shape[1] - k), 1)[:, max(0, score.shape[1] - k)]
+                r, c = np.nonzero((score >= cut[:, None]) & (score > -2.0))
+                found = pd.concat([best, pd.DataFrame({"query_id": ids[r], "vec_id": vec[c], "score": score[r, c]})])
+                found = found.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True], kind="stable")
+                best = found[found.groupby("query_id").cumcount() < k]
+            yield best
+
+        near = rows.select("vec_id", "embedding").mapInPandas(run, schema)
+        out = near if out is None else out.unionByName(near)
+        last = int(ids[-1])
+    if out is None:
+        return spark.createDataFrame([], schema)
+    return rank_within(out, ["query_id"], F.desc("score"), F.asc("vec_id")).where(F.col("rank") <= k).select("query_id", "vec_id", "score")
+
+
 def hamming_pairs(df: DataFrame, key: str, block: str, bits: str, most: int = 8, width: int = 64) -> DataFrame:
     """Pairs (a, b) within a block whose signatures differ in at most ``most`` bits, exactly.
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.functions import fields, lexicon
-from skein.functions.text import _NARROW, _WIDE
+from skein.functions.text import _NARROW, _WIDE, strip
 from skein.operators import retrieval
 from skein.plans import record_queries
 from skein.plans.record_queries import TOKENS
@@ -476,6 +476,112 @@ def places_anywhere(s, d):
     return a.unionByName(b).where("place IS NOT NULL").groupBy("place").agg(F.count("*").alias("tables_"), F.min("held_in").alias("first_table"))
 
 
+_JLEX = f"""{_LEX}, jh AS (SELECT row_id, job_description_raw AS text, name, category, alias, instr(lower(job_description_raw), alias) AS pos FROM jobs, lex WHERE contains(lower(job_description_raw), alias)),
+ jb AS (SELECT * FROM jh QUALIFY row_number() OVER (PARTITION BY row_id, name ORDER BY pos, -length(alias)) = 1), je AS (SELECT row_id, name, category, trim({_SIDE}, ' ' || chr(9) || chr(10) || chr(13)) AS evidence, CASE WHEN alias = lower(name) THEN 92 ELSE 86 END AS conf FROM jb),
+ js AS (SELECT row_id, name, category, conf, regexp_matches(lower(evidence), '{"|".join(lexicon.PREFERRED)}') AS wish FROM je)"""
+_SCORE_SQL = "CASE source_type " + " ".join(f"WHEN '{k}' THEN {round(v * 100)}" for k, v in record_queries.SOURCE_SCORES.items()) + " ELSE 65 END"
+_KNOWN = "NOT IN ('', 'unknown', '未知')"
+
+
+def posting_skills(s: SparkSession, d: str) -> DataFrame:
+    """A row per posting and skill its text names."""
+    return jobs(s, d).select("row_id", F.inline(lexicon.mentions(F.col("job_description_raw")))).select("row_id", "name", "category", F.round(F.col("confidence") * 100).cast("bigint").alias("conf"), (F.col("requirement") == "preferred").alias("wish"))
+
+
+@query(f"""WITH {_JLEX}, x AS (SELECT job_family_id AS family, name, js.row_id, conf * {_SCORE_SQL} AS weight, wish, lower(trim(source_type)) AS kind, lower(trim(source_name)) AS source, lower(trim(company_name)) AS company, first_seen_at FROM js JOIN jobs USING (row_id) WHERE job_family_id IS NOT NULL), n AS (SELECT job_family_id AS family, count(*) AS n FROM jobs GROUP BY ALL),
+ g AS (SELECT family, name, count(*) AS evidence, sum(weight)::BIGINT AS weight, count(*) FILTER (NOT wish) AS required, count(DISTINCT CASE WHEN kind {_KNOWN} THEN kind END) AS kinds, count(DISTINCT CASE WHEN source {_KNOWN} THEN source END) AS sources, count(DISTINCT CASE WHEN company {_KNOWN} THEN company END) AS companies, min(first_seen_at) AS first_at, max(first_seen_at) AS last_at FROM x GROUP BY family, name)
+ SELECT family, name, evidence, round(evidence / n, 4) AS prevalence, CASE WHEN 2 * required >= evidence THEN 'required' ELSE 'preferred' END AS requirement, round(required / evidence, 4) AS required_ratio, kinds, sources, companies, first_at, last_at, CASE WHEN kinds >= 2 OR sources >= 3 THEN 'confirmed' ELSE 'single_source' END AS status,
+  CASE WHEN kinds >= 2 OR sources >= 3 THEN (weight // evidence)::DOUBLE / 10000 ELSE least((weight // evidence)::DOUBLE / 10000, 0.6999) END AS confidence FROM g JOIN n USING (family)""")
+def job_skill_evidence(s, d):
+    """The evidence for each skill of each family: postings, sources, companies, times, how far sources confirm each other; one source alone never makes high confidence."""
+    kinds = F.create_map(*[F.lit(x) for k, v in record_queries.SOURCE_SCORES.items() for x in (k, round(v * 100))])
+    known = lambda c: F.when(~F.lower(strip(F.col(c))).isin("", "unknown", "未知"), F.lower(strip(F.col(c))))
+    j = jobs(s, d).where("job_family_id IS NOT NULL").select("row_id", F.col("job_family_id").alias("family"), F.coalesce(kinds[F.col("source_type")], F.lit(65)).alias("trust"), known("source_type").alias("kind"), known("source_name").alias("source"), known("company_name").alias("company"), "first_seen_at")
+    x = posting_skills(s, d).join(j, "row_id")
+    g = x.groupBy("family", "name").agg(
+        F.count("*").alias("evidence"), F.sum(F.col("conf") * F.col("trust")).alias("weight"), F.count_if(~F.col("wish")).alias("required"), F.count_distinct("kind").alias("kinds"),
+        F.count_distinct("source").alias("sources"), F.count_distinct("company").alias("companies"), F.min("first_seen_at").alias("first_at"), F.max("first_seen_at").alias("last_at"),
+    ).join(j.groupBy("family").agg(F.count("*").alias("n")), "family")
+    confirmed = (F.col("kinds") >= 2) | (F.col("sources") >= 3)
+    mean = F.floor(F.col("weight") / F.col("evidence")) / 10_000.0
+    return g.select(
+        "family", "name", "evidence", F.round(F.col("evidence") / F.col("n"), 4).alias("prevalence"), F.when(2 * F.col("required") >= F.col("evidence"), "required").otherwise("preferred").alias("requirement"),
+        F.round(F.col("required") / F.col("evidence"), 4).alias("required_ratio"), "kinds", "sources", "companies", "first_at", "last_at", F.when(confirmed, "confirmed").otherwise("single_source").alias("status"),
+        F.when(confirmed, mean).otherwise(F.least(mean, F.lit(0.6999))).alias("confidence"),
+    )
+
+
+@query("""WITH m AS (SELECT max(batch_no) // 2 AS half FROM jobs), g AS (SELECT job_family_id AS family, count(*) FILTER (batch_no > half) AS now_n, count(*) FILTER (batch_no <= half) AS old_n, count(DISTINCT source_type) AS sources, count(DISTINCT batch_no) AS batches FROM jobs, m WHERE job_family_id IS NOT NULL GROUP BY ALL)
+ SELECT family, now_n, old_n, CASE WHEN now_n <= 0 THEN 0.0 ELSE round(0.35 * least(greatest(0, (now_n - old_n) / greatest(old_n, 1)) / 2, 1) + 0.20 * least(sources / 5, 1) + 0.25 * CASE WHEN old_n = 0 THEN 0.9 ELSE 0.3 END + 0.10 * least(batches / 2, 1) + 0.10 * least(now_n / 30, 1), 4) END AS score FROM g""")
+def family_emergence(s, d):
+    """How far each family is emerging: growth, sources, novelty, persistence and volume."""
+    j = s.sql("SELECT job_family_id AS family, source_type, batch_no, batch_no > (SELECT max(batch_no) div 2 FROM {j}) AS late FROM {j} WHERE job_family_id IS NOT NULL", j=jobs(s, d).select("job_family_id", "source_type", "batch_no"))
+    g = j.groupBy("family").agg(F.count_if("late").alias("now_n"), F.count_if(~F.col("late")).alias("old_n"), F.count_distinct("source_type").alias("sources"), F.count_distinct("batch_no").alias("batches"))
+    one = lambda c: F.least(c, F.lit(1.0))
+    growth = F.greatest(F.lit(0.0), (F.col("now_n") - F.col("old_n")) / F.greatest(F.col("old_n"), F.lit(1)))
+    score = 0.35 * one(growth / 2) + 0.20 * one(F.col("sources") / 5) + 0.25 * F.when(F.col("old_n") == 0, 0.9).otherwise(0.3) + 0.10 * one(F.col("batches") / 2) + 0.10 * one(F.col("now_n") / 30)
+    return g.select("family", "now_n", "old_n", F.when(F.col("now_n") <= 0, 0.0).otherwise(F.round(score, 4)).alias("score"))
+
+
+@query(f"WITH {_JLEX} SELECT row_id, array_to_string(list_sort(list(name || CASE WHEN wish THEN '?' ELSE '' END)), ',') AS skills, count(*) AS n FROM js GROUP BY row_id")
+def nested_skills(s, d):
+    """The skills of each posting, nested in its row; no shuffle, as they come from one text."""
+    m = lexicon.mentions(F.col("job_description_raw"))
+    names = F.array_sort(F.transform(m, lambda x: F.concat(x["name"], F.when(x["requirement"] == "preferred", "?").otherwise(""))))
+    x = jobs(s, d).select("row_id", names.alias("k")).where(F.size("k") > 0)
+    return x.select("row_id", F.array_join("k", ",").alias("skills"), F.size("k").cast("bigint").alias("n"))
+
+
+@query("SELECT row_id, account_id, row_number() OVER (PARTITION BY account_id, file_no ORDER BY line_number NULLS LAST, row_id) AS line, count(*) OVER (PARTITION BY account_id, file_no) AS lines FROM liepin_jobs")
+def line_numbers(s, d):
+    """Lines numbered within their file."""
+    w = Window.partitionBy("account_id", "file_no")
+    order = w.orderBy(F.asc_nulls_last("line_number"), "row_id")
+    return table(s, d, "liepin_jobs").select("row_id", "account_id", F.row_number().over(order).alias("line"), F.count("*").over(w).alias("lines"))
+
+
+@query("SELECT event_id, coalesce(try_cast(CASE WHEN json_valid(props) THEN json_extract_string(props, '$.k') END AS INTEGER), -1) AS k, coalesce(json_valid(props), false) AS readable FROM events")
+def json_fallback(s, d):
+    """A value out of JSON, or a default where there is none."""
+    e = table(s, d, "events")
+    return e.select("event_id", F.coalesce(F.get_json_object("props", "$.k").try_cast("int"), F.lit(-1)).alias("k"), F.expr("coalesce(try_parse_json(props) IS NOT NULL, false)").alias("readable"))
+
+
+@query("SELECT row_id, job_family_id FROM jobs WHERE job_family_id IS NULL OR job_family_id NOT IN (SELECT job_family_id FROM job_family WHERE job_family_id IS NOT NULL)")
+def outside_families(s, d):
+    """Rows whose family is not among the known ones; a row without one is outside too."""
+    j = jobs(s, d).select("row_id", "job_family_id")
+    return j.join(table(s, d, "job_family").select("job_family_id"), "job_family_id", "left_anti").select("row_id", "job_family_id")
+
+
+@query(f"""WITH c AS ({O["capability_keys"]}) SELECT row_id, array_to_string(list_filter([CASE WHEN length(trim(industry)) > 80 OR regexp_matches(industry, '\\d+(?:\\.\\d+)?\\s*[-—~至]\\s*\\d+(?:\\.\\d+)?\\s*(?:元|[kK万])|本科|硕士|大专|学历|岗位要求|职位要求|招聘') THEN 'suspicious_industry' END,
+ CASE WHEN NOT has_evidence THEN 'no_capability_evidence' END, CASE WHEN coalesce(quality_score, 0) < 0.7 THEN 'low_quality_score' END], lambda x: x IS NOT NULL), ',') AS findings FROM jobs JOIN c USING (row_id)""")
+def soft_findings(s, d):
+    """What a person should look at in a row."""
+    odd = F.coalesce((F.length(F.trim("industry")) > 80) | F.col("industry").rlike(r"\d+(?:\.\d+)?\s*[-—~至]\s*\d+(?:\.\d+)?\s*(?:元|[kK万])|本科|硕士|大专|学历|岗位要求|职位要求|招聘"), F.lit(False))
+    low = F.lower("job_description_raw")
+    some = F.coalesce(F.exists(F.array(*[F.lit(a) for _, _, a in lexicon.ALIASES]), lambda a: F.contains(low, a)) | F.col("job_description_raw").rlike("|".join(lexicon.RESPONSIBLE)), F.lit(False))
+    codes = F.array(F.when(odd, "suspicious_industry"), F.when(~some, "no_capability_evidence"), F.when(F.coalesce("quality_score", F.lit(0.0)) < 0.7, "low_quality_score"))
+    return jobs(s, d).select("row_id", F.array_join(F.array_compact(codes), ",").alias("findings"))
+
+
+@query(f"""WITH f AS ({O["requirement_forms"]}), t AS ({O["title_forms"]}), q AS ({record_queries.O["quality_score"]}), g AS ({record_queries.O["quality_gate"]})
+ SELECT j.row_id, t.title, f.education, f.experience, f.pay, f.region, q.score, g.status, sha256(translate(regexp_replace(lower(job_description_raw), '[^\\p{{L}}\\p{{N}}]+', '', 'g'), '和及与', '')) AS content FROM jobs j JOIN f USING (row_id) JOIN q USING (row_id) JOIN g USING (row_id) LEFT JOIN t ON t.row_id = j.row_id""")
+def prepared_records(s, d):
+    """Rows in the one schema: normal forms, score, findings and the hash of the wording, composed of the queries that make each."""
+    known = table(s, d, "job_family").select("job_family_id", "family_name")
+    base = jobs(s, d)
+    kinds = F.create_map(*[F.lit(x) for kv in record_queries.SOURCE_SCORES.items() for x in kv])
+    filled = sum(((F.coalesce(c, F.lit("")) != "").cast("int") for c in record_queries._COMPLETE[1:]), (F.coalesce(record_queries._COMPLETE[0], F.lit("")) != "").cast("int"))
+    size = F.least(F.coalesce(F.length("job_description_raw"), F.lit(0)) / 500, F.lit(1.0))
+    x = base.join(known, "job_family_id", "left").select(
+        "row_id", F.when(F.col("job_title_raw").isNotNull(), F.coalesce("family_name", fields.title(F.col("job_title_raw")))).alias("title"), fields.education(F.col("education_requirement")).alias("education"),
+        fields.experience(F.col("experience_requirement")).alias("experience"), fields.pay_text(F.col("salary_range")).alias("pay"), fields.region(F.col("region")).alias("region"),
+        F.round(0.45 * F.coalesce(kinds[F.col("source_type")], F.lit(0.65)) + 0.30 * filled / 6 + 0.25 * size, 4).alias("score"), F.sha2(fields.wording(F.col("job_description_raw")), 256).alias("content"),
+    )
+    return x.join(record_queries.Q["quality_gate"](s, d).select("row_id", "status"), "row_id")
+
+
 @query()
 def inline_text(s, d):
     """Titles and places in one line of unified forms."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.operators import matching
+from skein.operators import learning, matching
 from skein.plans.profile_queries import postings
 from skein.session import materialise
 from skein.sources.tables import table
@@ -40,7 +40,8 @@ BASE = f"""WITH p AS (SELECT o_orderkey, o_custkey, c_mktsegment || '|' || o_ord
   CASE WHEN list_sum(v) >= 8000 THEN 'high' WHEN list_sum(v) >= 6000 THEN 'medium' ELSE 'low' END AS band FROM f)"""
 
 
-def _scored(s: SparkSession, d: str) -> DataFrame:
+def _tables(s: SparkSession, d: str) -> dict:
+    """The inputs of ``matching.score``."""
     p = postings(s, d).select("o_orderkey", F.col("o_custkey").alias("cand"), F.col("family"), F.concat_ws("|", "family", "level").alias("profile"), "level", "o_orderdate")
     month = lambda c: F.year(c) * 12 + F.month(c)
     li = table(s, d, "lineitem").join(table(s, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand", "p_type"), "l_partkey")
@@ -66,7 +67,31 @@ def _scored(s: SparkSession, d: str) -> DataFrame:
     pairs = candidates.select("cand", "family").join(sizes.select("family", "profile"), "family").select("cand", "profile")
     related = s.createDataFrame(RELATED, "have string, want string")
     now = table(s, d, "lineitem").agg(month(F.max("l_shipdate")).alias("now")).first()["now"]
-    return matching.score(pairs, candidates.select("cand", "years"), skills, profiles, targets, duties, done, related, now)
+    return {
+        "pairs": pairs, "candidates": candidates.select("cand", "years"), "skills": skills, "profiles": profiles, "targets": targets, "duties": duties, "done": done, "related": related, "now": now,
+    }
+
+
+def _scored(s: SparkSession, d: str) -> DataFrame:
+    return matching.score(**_tables(s, d))
+
+
+#: What a brand builds on, in order.
+NEEDS = [("Brand#3", "Brand#1", 0), ("Brand#3", "Brand#2", 1), ("Brand#13", "Brand#12", 0)]
+
+
+def learning_plan(s, d):
+    """What each candidate lacks for each profile of the segment, in the order to learn it, with the score it leads to."""
+    t = _tables(s, d)
+    want = t["pairs"].join(t["targets"], "profile")
+    sizes = t["targets"].groupBy("profile").agg(F.count_if("required").alias("n_req"), F.count_if(~F.col("required")).alias("n_pref"))
+    owned = t["skills"].select("cand", "skill")
+    gaps = want.join(owned, ["cand", "skill"], "left_anti").join(sizes, "profile")
+    priority = F.when(F.col("required") & (F.col("prevalence") >= matching.CORE), "core").when(F.col("required"), "required").otherwise("preferred")
+    uplift = F.when(F.col("required"), F.floor(F.lit(700_000) / F.col("n_req"))).otherwise(F.floor(F.lit(50_000) / F.col("n_pref"))).cast("bigint")
+    gaps = gaps.select("cand", "profile", "skill", priority.alias("priority"), uplift.alias("uplift"))
+    needs = s.createDataFrame(NEEDS, "skill string, needs string, step int")
+    return learning.plan(gaps, owned, matching.score(**t), needs)
 
 
 def match_dimensions(s, d):
@@ -79,9 +104,16 @@ def profile_recommendation(s, d):
     return matching.recommend(scored, "level", 3).select("cand", "profile", "total", "confidence", "band", "rank")
 
 
-QUERIES = {"match_dimensions": match_dimensions, "profile_recommendation": profile_recommendation}
+QUERIES = {"match_dimensions": match_dimensions, "profile_recommendation": profile_recommendation, "learning_plan": learning_plan}
 ORACLE = {
     "match_dimensions": BASE + " SELECT * FROM scored",
     "profile_recommendation": BASE + """ SELECT cand, profile, total, confidence, band, row_number() OVER (PARTITION BY cand ORDER BY total DESC, CASE confidence WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END DESC, exact DESC, profile) AS rank FROM scored
  QUALIFY row_number() OVER (PARTITION BY cand ORDER BY total DESC, CASE confidence WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END DESC, exact DESC, profile) <= 3""",
+    "learning_plan": BASE + f""", needs(skill, needs, step) AS (VALUES {", ".join(f"('{a}', '{b}', {c})" for a, b, c in NEEDS)}),
+ sz AS (SELECT profile, count(*) FILTER (required) AS n_req, count(*) FILTER (NOT required) AS n_pref FROM t GROUP BY profile),
+ gaps AS (SELECT w.cand, w.profile, skill, CASE WHEN required AND prevalence >= 0.65 THEN 'core' WHEN required THEN 'required' ELSE 'preferred' END AS priority, CASE WHEN required THEN 700000 // n_req ELSE 50000 // n_pref END::BIGINT AS uplift FROM w JOIN sz USING (profile) WHERE have IS NULL),
+ pre AS (SELECT g.cand, g.profile, n.needs AS skill, min(n.step) AS step FROM gaps g JOIN needs n USING (skill) WHERE NOT EXISTS (SELECT 1 FROM held h WHERE h.cand = g.cand AND h.skill = n.needs) AND NOT EXISTS (SELECT 1 FROM gaps o WHERE o.cand = g.cand AND o.profile = g.profile AND o.skill = n.needs) GROUP BY ALL),
+ every AS (SELECT cand, profile, skill, 'prerequisite' AS priority, 0::BIGINT AS uplift, step FROM pre UNION ALL SELECT *, 0 FROM gaps), ph AS (SELECT *, CASE priority WHEN 'prerequisite' THEN 1 WHEN 'preferred' THEN 3 ELSE 2 END AS phase FROM every),
+ placed AS (SELECT *, row_number() OVER o AS place, sum(uplift) OVER (PARTITION BY cand, profile ORDER BY phase, CASE WHEN priority = 'core' THEN 0 ELSE 1 END, step, uplift DESC, skill ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS gained FROM ph WINDOW o AS (PARTITION BY cand, profile ORDER BY phase, CASE WHEN priority = 'core' THEN 0 ELSE 1 END, step, uplift DESC, skill))
+ SELECT cand, profile, phase, place, skill, priority, uplift, least(10000, (total * 100 + gained + 50) // 100)::DOUBLE / 100 AS projected FROM placed JOIN scored USING (cand, profile)""",
 }

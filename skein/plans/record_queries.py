@@ -153,12 +153,7 @@ _COS = "list_dot_product(embedding, q) / (sqrt(list_dot_product(embedding, embed
 def cosine_topk(s, d):
     e = table(s, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
     q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    # A stated query set against all rows: every row meets the queries of one block at a time.
-    blocks = q.groupBy((F.pmod(F.col("query_id") / 50, F.lit(16))).cast("int").alias("block")).agg(F.collect_list(F.struct("query_id", "q")).alias("qs"))
-    spread = e.select("*", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("block"))
-    x = spread.join(blocks, "block").select("vec_id", "embedding", F.inline("qs")).where("vec_id <> query_id")
-    scored = x.select("query_id", "vec_id", F.round(retrieval.cosine(F.col("embedding"), F.col("q")), 6).alias("score"))
-    return retrieval.rank_within(scored, ["query_id"], F.desc("score"), F.asc("vec_id")).where("rank <= 5").select("query_id", "vec_id", "score")
+    return retrieval.top_cosine(e, q, 5)
 
 
 _HYBRID = f"coalesce(CASE WHEN text IS NOT NULL THEN {_SCORE} END, 0)"
@@ -339,10 +334,12 @@ def setops_regions(s, d):
     return n("union", a.union(b).distinct()).unionByName(n("intersect", a.intersect(b))).unionByName(n("except", a.subtract(b)))
 
 
-@query("SELECT p_brand, sha256(string_agg(p_partkey::VARCHAR, ',' ORDER BY p_partkey)) AS signature FROM part GROUP BY p_brand")
+@query("""WITH b AS (SELECT p_brand, p_partkey // 1000 AS piece, sha256(string_agg(p_partkey::VARCHAR, ',' ORDER BY p_partkey)) AS h FROM part GROUP BY ALL) SELECT p_brand, sha256(string_agg(h, ',' ORDER BY piece)) AS signature FROM b GROUP BY p_brand""")
 def canonical_signature(s, d):
-    keys = F.array_join(F.transform(F.array_sort(F.collect_list("p_partkey")), lambda x: x.cast("string")), ",")
-    return table(s, d, "part").groupBy("p_brand").agg(F.sha2(keys, 256).alias("signature"))
+    """A digest of a group whatever the order of its rows: of the digests of its pieces, each of a thousand keys at most."""
+    joined = lambda c: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*c))), lambda x: x[c[-1]].cast("string")), ","), 256)
+    b = table(s, d, "part").select("p_brand", "p_partkey", F.floor(F.col("p_partkey") / 1000).alias("piece")).groupBy("p_brand", "piece").agg(joined(["p_partkey"]).alias("h"))
+    return b.groupBy("p_brand").agg(joined(["piece", "h"]).alias("signature"))
 
 
 @query("""WITH o AS (SELECT c_custkey AS k, c_acctbal AS v FROM customer WHERE c_acctbal < 5000), n AS (SELECT o_custkey AS k, round(sum(o_totalprice), 2) AS v FROM orders GROUP BY o_custkey) SELECT coalesce(n.k, o.k) AS k, coalesce(n.v, o.v) AS v, CASE WHEN o.k IS NULL THEN 'inserted' WHEN n.k IS NULL THEN 'kept' ELSE 'updated' END AS outcome FROM o FULL JOIN n ON o.k = n.k""")

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from skein.operators import profiles
-from skein.plans import field_queries, matching_queries, profile_queries, record_queries, training_data
+from skein.plans import field_queries, matching_queries, profile_queries, record_queries, service_queries, training_data
 
-MODULES = [profile_queries, record_queries, field_queries, matching_queries, training_data]
+MODULES = [profile_queries, record_queries, field_queries, matching_queries, service_queries, training_data]
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE = {k: v for m in MODULES for k, v in m.ORACLE.items()}
 

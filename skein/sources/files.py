@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 LINE_BYTES, FILE_BYTES, FILE_RECORDS, DEPTH = 1 << 20, 25 << 20, 10_000, 50
 RECORD = ["file", "line_number", "raw", "error"]
+#: The one JSON value of a text, null if there is none or anything after it: the parser alone would stop after the first.
+ONE = "CASE WHEN try_variant_get(try_parse_json('[' || {0} || ']'), '$[1]', 'variant') IS NULL THEN try_variant_get(try_parse_json('[' || {0} || ']'), '$[0]', 'variant') END"
 
 
 def depth(raw: Column) -> Column:
@@ -25,7 +27,7 @@ def json_lines(spark: SparkSession, path: str) -> DataFrame:
     """RECORD rows of files of one object per line; ``line_number`` counts from 1, empty lines included but not returned."""
     whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
     lines = whole.select("file", F.posexplode(F.split(F.regexp_replace("value", "^﻿", ""), "\r?\n", -1)).alias("at", "raw")).where(F.trim("raw") != "")
-    ok = F.expr("schema_of_variant(try_parse_json(raw)) LIKE 'OBJECT<%'")
+    ok = F.expr(f"schema_of_variant({ONE.format('raw')}) LIKE 'OBJECT<%'")
     return lines.select("file", (F.col("at") + 1).alias("line_number"), "raw", F.when(~F.coalesce(ok, F.lit(False)), "invalid_json").alias("error"))
 
 
@@ -33,7 +35,7 @@ def json_items(spark: SparkSession, path: str) -> DataFrame:
     """RECORD rows of files that hold one JSON array of objects, or one object; ``line_number`` is the item's number.
     A file that is neither, or has anything after it, is one row in error, as is an item that is no object."""
     whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.regexp_replace("value", "^﻿", "").alias("value"))
-    read = whole.select("file", F.expr("try_parse_json(value)").alias("v"), "value").withColumn("kind", F.expr("schema_of_variant(v)"))
+    read = whole.select("file", F.expr(ONE.format("value")).alias("v"), "value").withColumn("kind", F.expr("schema_of_variant(v)"))
     items = spark.sql(
         """SELECT file, e.pos + 1 AS line_number, to_json(e.value) AS raw, CASE WHEN schema_of_variant(e.value) LIKE 'OBJECT<%' THEN NULL ELSE 'invalid_record' END AS error
            FROM {r} r, LATERAL variant_explode(r.v) e WHERE kind LIKE 'ARRAY<%'""", r=read)

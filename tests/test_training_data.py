@@ -114,6 +114,29 @@ def test_zones_are_estimated_from_ingestion(spark):
     assert got == {"a": ("Asia/Tokyo", 0), "b": ("America/New_York", 0)}
 
 
+def test_stated_offsets_tell_zones_and_ties_stay_open(spark):
+    rows = []
+    for k in range(60):
+        u = dt.datetime(2025, 1, 5, 12, tzinfo=dt.UTC) + dt.timedelta(days=6 * k)
+        seen = int(u.timestamp()) + 86_400 * (5 + k % 9)
+        local = lambda z: u.astimezone(ZoneInfo(z))
+        # Collected days later: only rows that state an offset tell the zone, one in five, and some state another site's.
+        rows.append(("stated", local("Europe/London").isoformat() if k % 5 == 0 else u.isoformat() if k % 7 == 0 else local("Europe/London").strftime("%Y-%m-%d %H:%M:%S"), seen))
+        rows.append(("open", local("Asia/Tokyo").strftime("%Y-%m-%d %H:%M:%S"), seen))
+        rows.append(("zulu", u.strftime("%Y-%m-%dT%H:%M:%SZ"), seen))
+        rows.append((None, "2025-01-01 00:00:00", seen))
+    df = spark.createDataFrame(rows + rows, "clock string, v string, seen bigint")
+    got = {r.clock: r.zone for r in instants.estimate_zones(df, "v", "seen", "clock").collect()}
+    assert got == {"stated": "Europe/London", "open": None}
+    # The estimate serves rows without a zone, and only those.
+    more = df.select("clock", "v", "seen", F.lit(None).cast("string").alias("z")).unionByName(spark.createDataFrame([("stated", "2025-07-01 12:00:00", None, "Asia/Tokyo"), ("open", "2025-07-01 12:00:00", None, None)], "clock string, v string, seen bigint, z string"))
+    more = more.unionByName(spark.createDataFrame([("stated", "2025-07-01 12:00:00", None, "no/zone")], "clock string, v string, seen bigint, z string"))
+    out = {(r.clock, r.z): r.epoch_ms for r in instants.instants_of(more, "v", "z", "clock", "seen").where("seen IS NULL").collect()}
+    at = lambda h: int(dt.datetime(2025, 7, 1, h, tzinfo=dt.UTC).timestamp()) * 1000
+    assert out == {("stated", "Asia/Tokyo"): at(3), ("stated", "no/zone"): at(11), ("open", None): None}
+    assert instants.estimate_zones(df.limit(0), "v", "seen", "clock").count() == 0
+
+
 PAY = [
     ("18.5-30.5K·14薪", 18500, 30500), ("９千-1.2万每月", 9000, 12000), ("两万七至三万六每月", 27000, 36000), ("四万至六万二", 40000, 62000), ("年薪47～77万", 39167, 64167), ("US$70k-US$107k/yr", 41417, 63308),
     ("HKD 3,300-4,700/month", 3036, 4324), ("260-300/日", 5655, 6525), ("时薪56元", 9744, 9744), ("不超过10000元", 10000, 10000), ("12.5K以上", 12500, 12500), ("46至27.5K", 27500, 46000), ("¥9500~16000", 9500, 16000),
@@ -156,3 +179,17 @@ def test_pay_of_nothing(spark, units):
 
 def test_monotone():
     assert pay.monotone([(1, 0.2), (1, 0.6), (1, 0.4), (0, 0.9)]) == [0.2, 0.5, 0.5, 0.9]
+
+
+def test_who_decides(spark, units):
+    """The forest decides where it is sure and nothing contradicts it; words outrank it; the rest is for a person."""
+    rows = [("jobs", f"m{i}", f"{8000 + 100 * i}-{12000 + 100 * i}元/月", None, None, None, None, "A") for i in range(150)]
+    rows += [("jobs", f"h{i}", f"{30 + i % 40}-{50 + i % 40}元/时", None, None, None, None, "A") for i in range(150)]
+    rows += [("jobs", "sure", "9100-13100", None, None, None, None, "A"), ("jobs", "words", "9100-13100", None, None, None, ["薪资单位：元/年"], "A"), ("jobs", "same", "9100-13100", None, None, None, ["薪资单位：元/月"], None)]
+    got = {r.row_key: r for r in pay.to_monthly(spark.createDataFrame(rows, RECORD + ", category string"), units).collect()}
+    assert got["sure"].decided_by == "forest" and got["same"].decided_by == "forest" and got["same"].low_yuan == 9100
+    assert got["words"].low_yuan == 758 and got["words"].said == "1|year"
+    held = {r.unit: (r.n, r.right) for r in pay.held_out(spark.createDataFrame(rows, RECORD + ", category string")).collect()}
+    assert set(held) == {"1|month", "1|hour"} and all(right >= 0.9 * n for n, right in held.values())
+    alone = pay.to_monthly(spark.createDataFrame([("jobs", "x", "38-55", None, None, None, None)], RECORD), units).first()
+    assert alone.decision == "review" and alone.low_yuan is None
