@@ -221,11 +221,34 @@ def test_appending_reopening_and_compacting_give_what_one_backlog_gives(spark, t
 
 
 def test_crowded_shingles_name_no_lane():
-    least = np.array([[1, 2, 3, 4, 5, 6], [1, 2, 3, -1, -1, -1], [1, 2, 7, 8, 9, 10], [1, 2, -1, -1, -1, -1]], np.int64)
+    least = np.array([[1, 2, 3, 4, 5, 6], [1, 2, 3, -1, -1, -1], [1, 2, 7, 8, 9, 10], [1, 2, -1, -1, -1, -1], [1, 2, 3, 4, 5, 6]], np.int64)
     lanes = history.lanes_of(least, np.array([1, 2], np.int64))
-    assert lanes[0].tolist() == [3, 4, 5] and lanes[2].tolist() == [7, 8, 9]
-    assert lanes[1][0] == 3 and lanes[1][1] not in (-1, 1, 2) and lanes[3][0] not in (-1, 1, 2) and lanes[3][1:].tolist() == [-1, -1]
-    assert history.lanes_of(least, np.empty(0, np.int64))[0].tolist() == [1, 2, 3]
+    assert lanes[0].tolist() == [3, 4, 5, -1] and lanes[2].tolist() == [7, 8, 9, -1] and lanes[1].tolist() == [3, -1, -1, -1]
+    assert lanes[3][:3].tolist() == [-1, -1, -1] and lanes[3][3] != -1
+    lanes = history.lanes_of(least, np.array([1, 2, 3, 5], np.int64))
+    assert lanes[0][:3].tolist() == [4, 6, -1] and lanes[0][3] == lanes[4][3] != -1 and lanes[1][3] not in (-1, lanes[0][3])
+    assert history.lanes_of(least, np.empty(0, np.int64))[0].tolist() == [1, 2, 3, -1]
+
+
+def test_a_group_of_very_many_near_texts_is_one_posting(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(history, "CROWDED", 20)
+    rng = random.Random(3)
+    base = posting(1)
+
+    def edited():
+        t = list(base)
+        for _ in range(6):
+            t[rng.randrange(len(t))] = chr(rng.randrange(0x4E00, 0x9000))
+        return "".join(t)
+
+    rows = [(k, f"R{k}", edited() if k % 3 else posting(1000 + k)) for k in range(900)]
+    df = spark.createDataFrame(rows, "row_id bigint, record_id string, description string")
+    index = history.HistoryIndex(spark, f"file://{tmp_path}/index")
+    index.append(df.where("row_id < 600"))
+    index.append(df.where("row_id >= 600"))
+    got = {(r.row_id_a, r.row_id_b) for r in index.repeats().collect()}
+    want = {(1, k) for k in range(2, 900) if k % 3}
+    assert index.state["parts"] and len(got & want) >= 0.99 * len(want) and all(a % 3 for a, _ in got)
 
 
 def test_long_tags_are_markup():
