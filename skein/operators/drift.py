@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 
 from skein.operators import instants
 from skein.session import materialise
-from skein.sources.jsonlines import parse_lines
 
 #: Least cosine of two fields' contents, in weighted character bigrams, for them to be one field
 #: renamed. Between files of 20 to 40 lines, one field scores 0.3 or more, two fields 0.21 or less.
@@ -47,41 +46,43 @@ def ingest(lines: DataFrame, targets: Targets, raw: str = "raw_line") -> DataFra
     column if it is a string or a number that casts to the kind; any other value, and every unknown key, is rescued.
     A line is parsed once, and its fields never leave its row.
     """
-    parsed = parse_lines(lines, raw, KEYS)
-    rows = parsed.select(*KEYS, "readable", F.expr("map_entries(CAST(obj AS MAP<STRING, VARIANT>))").alias("__e"))
+    # Parsed inside brackets, so that text after the object or a second object makes a line unreadable.
+    rows = lines.select(*KEYS, F.try_parse_json(F.concat(F.lit("["), F.col(raw), F.lit("]"))).alias("__v"))
+    one = "CASE WHEN try_variant_get(__v, '$[1]', 'variant') IS NULL THEN try_variant_get(__v, '$[0]', 'map<string,variant>') END"
+    rows = rows.select(*KEYS, F.expr(one).alias("__m"))
+    held = {t: F.create_map(*[x for k, (c, kd) in m.items() for x in (F.lit(k), F.struct(F.lit(c).alias("target"), F.lit(kd).alias("kind")))]) for t, m in targets.items() if m}
+    known = F.lit(None).cast("map<string,struct<target:string,kind:string>>")
+    for t, m in held.items():
+        known = F.when(F.col("table_name") == t, m).otherwise(known)
+    rows = rows.select(*KEYS, F.col("__m").isNotNull().alias("readable"), "__m", known.alias("__k"))
+    # An object's keys come in their order. The JSON of a value is written only where it is rescued.
     seen = F.expr(
-        """transform(__e, e -> struct(e.key AS field, to_json(e.value) AS json, schema_of_variant(e.value) AS s,
+        """transform(map_entries(__m), e -> struct(e.key AS field, e.value AS v, schema_of_variant(e.value) AS s, __k[e.key] AS k,
              try_variant_get(e.value, '$', 'string') AS text))"""
     )
+    rows = rows.select(*KEYS, "readable", seen.alias("__e"))
     kind = (
         "CASE WHEN x.s = 'VOID' THEN 'null' WHEN x.s = 'STRING' THEN 'string' WHEN x.s = 'BOOLEAN' THEN 'boolean'"
         " WHEN x.s LIKE 'ARRAY%' THEN 'array' WHEN x.s LIKE 'OBJECT%' THEN 'object' ELSE 'number' END"
     )
+    typed = F.expr(f"transform(__e, x -> struct(x.field AS field, x.v AS v, {kind} AS type, x.k AS k, x.text AS text))")
+    rows = rows.select(*KEYS, "readable", typed.alias("__e"))
+    fits = lambda x: F.when(x["k"].isNotNull() & x["type"].isin("string", "number") & x["text"].isNotNull(), F.when(cast_to(x["k"]["kind"], x["text"]), x["k"]["target"]))
+    rows = rows.select(*KEYS, "readable", "__e", F.transform("__e", fits).alias("__t"))
+    # Two keys for one target are rare; only lines that have them are searched for the first.
+    named = F.filter("__t", lambda t: t.isNotNull())
+    twice = F.size(F.array_distinct(named)) < F.size(named)
+    clean = F.transform("__t", lambda t, i: F.when(F.array_position("__t", t) == i + 1, t))
+    rows = rows.select(*KEYS, "readable", "__e", F.when(twice, clean).otherwise(F.col("__t")).alias("__t"))
+    rows = rows.select(*KEYS, "readable", F.arrays_zip(F.col("__e").alias("e"), F.col("__t").alias("t")).alias("__z"))
     leaf = (
-        "CASE WHEN x.s LIKE 'ARRAY%' THEN array_join(from_json(x.json, 'array<string>'), ' ')"
-        " WHEN x.s LIKE 'OBJECT%' THEN array_join(map_values(from_json(x.json, 'map<string,string>')), ' ')"
-        " WHEN x.s <> 'VOID' THEN coalesce(x.text, x.json) END"
+        "CASE WHEN x.e.type = 'array' THEN array_join(from_json(to_json(x.e.v), 'array<string>'), ' ')"
+        " WHEN x.e.type = 'object' THEN array_join(map_values(from_json(to_json(x.e.v), 'map<string,string>')), ' ')"
+        " WHEN x.e.type <> 'null' THEN coalesce(x.e.text, to_json(x.e.v)) END"
     )
-    rows = rows.select(*KEYS, "readable", seen.alias("__e"))
-    rows = rows.select(*KEYS, "readable", F.expr(f"transform(__e, x -> struct(x.field AS field, x.json AS json, {kind} AS type, {leaf} AS leaf))").alias("__e"))
-    held = {t: F.create_map(*[x for k, (c, kd) in m.items() for x in (F.lit(k), F.struct(F.lit(c).alias("target"), F.lit(kd).alias("kind")))]) for t, m in targets.items() if m}
-    known = F.lit(None).cast("map<string,struct<target:string,kind:string>>")
-    for t, m in held.items():
-        known = F.when(F.col("table_name") == t, m).otherwise(known)
-    rows = rows.select(*KEYS, "readable", "__e", known.alias("__k"))
-    met = F.transform("__e", lambda x: F.struct(x["field"].alias("field"), F.col("__k")[x["field"]].alias("k"), x["json"].alias("json"), x["type"].alias("type"), x["leaf"].alias("leaf")))
-    rows = rows.select(*KEYS, "readable", met.alias("__e"))
-    fits = lambda x: F.when(x["k"].isNotNull() & x["type"].isin("string", "number") & x["leaf"].isNotNull(), F.when(cast_to(x["k"]["kind"], x["leaf"]), x["k"]["target"]))
-    marked = F.transform("__e", lambda x: F.struct(x["field"].alias("field"), fits(x).alias("target"), x["json"].alias("json"), x["type"].alias("type"), x["leaf"].alias("leaf")))
-    rows = rows.select(*KEYS, "readable", F.array_sort(marked).alias("__e"))
-    # Two keys for one target are rare; only lines that have them are searched for the first.
-    named = F.filter(F.transform("__e", lambda x: x["target"]), lambda t: t.isNotNull())
-    rows = rows.withColumn("__twice", F.size(F.array_distinct(named)) < F.size(named))
-    again = lambda x, i: F.exists(F.slice(F.col("__e"), F.lit(1), i), lambda y: y["target"] == x["target"])
-    first = lambda x, i: x["target"].isNotNull() & F.when(F.col("__twice"), ~F.coalesce(again(x, i), F.lit(False))).otherwise(F.lit(True))
-    typed = F.transform(F.filter("__e", first), lambda x: F.struct(x["target"], F.struct(x["field"].alias("field"), x["type"].alias("type"), x["leaf"].alias("leaf"))))
-    rest = F.transform(F.filter("__e", lambda x, i: ~first(x, i)), lambda x: F.struct(x["field"], F.struct(x["json"].alias("json"), x["type"].alias("type"), x["leaf"].alias("leaf"))))
-    return rows.select(*KEYS, "readable", F.map_from_entries(typed).alias("typed"), F.map_from_entries(rest).alias("rescued"))
+    own = F.expr("map_from_entries(transform(filter(__z, x -> x.t IS NOT NULL), x -> struct(x.t, struct(x.e.field AS field, x.e.type AS type, x.e.text AS leaf))))")
+    rest = F.expr(f"map_from_entries(transform(filter(__z, x -> x.t IS NULL), x -> struct(x.e.field, struct(to_json(x.e.v) AS json, x.e.type AS type, {leaf} AS leaf))))")
+    return rows.select(*KEYS, "readable", own.alias("typed"), rest.alias("rescued"))
 
 
 def fields_of(ingested: DataFrame) -> DataFrame:
