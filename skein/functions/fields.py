@@ -4,6 +4,7 @@
 from __future__ import annotations
 
 import html
+import html.entities
 import html.parser
 import re
 import unicodedata
@@ -32,63 +33,59 @@ BLOCKS = frozenset("address article aside blockquote dd div dl dt figure footer
 INLINES = frozenset("a abbr b bdi bdo cite code em font i img kbd mark q s small span strong sub sup u".split())
 
 
-class _Reader(html.parser.HTMLParser):
-    """Pieces of a page: (text,) or (tag name, 1 opening / -1 closing / 0 both, source, link)."""
+#: Stands for a line end between blocks; several in a row are one.
+_END = "\0"
+
+
+class _Page(html.parser.HTMLParser):
+    """Text in slots. An opening tag stands in its slot as written, and is taken out when its partner comes."""
 
     def __init__(self):
         super().__init__(convert_charrefs=False)
-        self.pieces: list[tuple] = []
-
-    def handle_starttag(self, tag, attrs):
-        self.pieces.append((tag, 0 if tag in ("br", "hr", "img") else 1, self.get_starttag_text(), dict(attrs).get("href")))
+        self.slots: list[str] = []
+        self.waiting: dict[str, list[tuple[int, str]]] = {}
 
     def handle_startendtag(self, tag, attrs):
-        self.pieces.append((tag, 0, self.get_starttag_text(), None))
+        known = tag in BLOCKS or tag in INLINES or tag == "br"
+        self.slots.append((_END if tag not in INLINES else "") if known else self.get_starttag_text())
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("br", "hr", "img"):
+            self.handle_startendtag(tag, attrs)
+            return
+        if tag in BLOCKS or tag in INLINES:
+            self.waiting.setdefault(tag, []).append((len(self.slots), dict(attrs).get("href") or ""))
+        self.slots.append(self.get_starttag_text())
 
     def handle_endtag(self, tag):
-        self.pieces.append((tag, -1, f"</{tag}>", None))
+        if not self.waiting.get(tag):
+            self.slots.append(f"</{tag}>")
+            return
+        at, link = self.waiting[tag].pop()
+        edge = _END if tag in BLOCKS else ""
+        self.slots[at] = edge
+        if tag == "a" and re.match(r"(?i)https?://[^/?#\s]", link) and link.isprintable():
+            self.slots.append(f" [{link}]")
+        self.slots.append(edge)
 
     def handle_data(self, data):
-        self.pieces.append((data,))
+        self.slots.append(data)
 
     def handle_entityref(self, name):
-        self.pieces.append((html.unescape(f"&{name};") if html.unescape(f"&{name};") != f"&{name};" else f"&{name}",))
+        self.slots.append(html.unescape(f"&{name};") if f"{name};" in html.entities.html5 else f"&{name}")
 
     def handle_charref(self, name):
-        self.pieces.append((html.unescape(f"&#{name};"),))
+        self.slots.append(html.unescape(f"&#{name};"))
 
 
 def page_text(page: str) -> str:
     """Readable text of markup. Known elements that are opened and closed vanish, block ones as line ends; what is
     unknown or without its partner stays as written; a link's http(s) address follows its text in brackets."""
-    reader = _Reader()
-    reader.feed(page)
+    reader = _Page()
+    reader.feed(page.replace(_END, ""))
     reader.close()
-    open_at: dict[str, list[int]] = {}
-    partner: dict[int, int] = {}
-    for i, piece in enumerate(reader.pieces):
-        if len(piece) == 1 or piece[0] not in BLOCKS | INLINES:
-            continue
-        if piece[1] == 1:
-            open_at.setdefault(piece[0], []).append(i)
-        elif piece[1] == -1 and open_at.get(piece[0]):
-            partner[i] = open_at[piece[0]].pop()
-            partner[partner[i]] = i
-    out = ""
-    for i, piece in enumerate(reader.pieces):
-        if len(piece) == 1:
-            out += piece[0]
-            continue
-        tag, kind, source, _ = piece
-        known = tag == "br" or (tag in BLOCKS | INLINES and (kind == 0 or i in partner))
-        if not known:
-            out += source
-        elif tag == "a" and kind == -1:
-            link = reader.pieces[partner[i]][3] or ""
-            out += f" [{link}]" if re.match(r"(?i)https?://[^/?#\s]", link) and link.isprintable() else ""
-        elif (tag == "br" or tag in BLOCKS) and out and not out.endswith("\n"):
-            out += "\n"
-    lines = unicodedata.normalize("NFKC", out).replace("\r\n", "\n").replace("\r", "\n").split("\n")
+    text = re.sub("\0+", "\n", "".join(reader.slots))
+    lines = unicodedata.normalize("NFKC", text).replace("\r\n", "\n").replace("\r", "\n").split("\n")
     return re.sub(r"\n{3,}", "\n\n", "\n".join(re.sub(r"\s+", " ", x).strip() for x in lines)).strip()
 
 
