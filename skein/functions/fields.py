@@ -263,3 +263,12 @@ def cited(c: Column) -> Column:
 def grounded(quote: Column, text: Column) -> Column:
     """Whether a quotation stands in a text, white space and case aside; a blank one does not."""
     return F.contains(squeezed_key(text), squeezed_key(quote)) & (squeezed_key(quote) != "")
+
+
+def hidden_json(page: Column, name: str) -> Column:
+    """The JSON that a page keeps in the hidden field of a name, its entities resolved; null if there is none, or it does not parse."""
+    tag = F.regexp_extract(page, rf"""(?is)<input\b(?=[^>]*\btype\s*=\s*["']?hidden)(?=[^>]*\b(?:name|id)\s*=\s*["']?{re.escape(name)}["'\s>])[^>]*>""", 0)
+    value = F.coalesce(F.nullif(F.regexp_extract(tag, r"""(?is)\bvalue\s*=\s*"([^"]*)\"""", 1), F.lit("")), F.regexp_extract(tag, r"""(?is)\bvalue\s*=\s*'([^']*)'""", 1))
+    for entity, sign in (("&quot;", '"'), ("&#34;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+        value = F.replace(value, F.lit(entity), F.lit(sign))
+    return F.when((value != "") & F.try_parse_json(value).isNotNull(), value)

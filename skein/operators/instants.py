@@ -204,10 +204,12 @@ def estimate_zones(df: DataFrame, value: str, seen: str, clock: str, candidates:
 
 def instants_of(df: DataFrame, value: str, zone: str, clock: str, seen: str, candidates: list[str] | None = None) -> DataFrame:
     """``df`` with ``epoch_ms``: each row by its own offset or zone, and rows of no usable zone by the zone that is
-    estimated for their clock. Only those rows, and no others, pay for the estimate."""
+    estimated for their clock. Only those rows, and no others, pay for the estimate; where there are none it is not planned."""
     zones = known_zones(df)
     usable = F.coalesce(F.col(zone).isin(zones), F.lit(False))
     lacking = df.where(~usable)
+    if lacking.isEmpty():
+        return to_instants(df, value, zone, zones)
     guessed = estimate_zones(lacking, value, seen, clock, candidates)
     own = to_instants(df.where(usable), value, zone, zones)
     return own.unionByName(to_instants(lacking, value, zone, zones, guessed, clock))

@@ -299,4 +299,14 @@ def graph_edges(s, d):
     return a.unionByName(b).unionByName(uses.select(name("customer", "o_custkey").alias("source"), name("brand", "skill").alias("target"), F.lit("USES").alias("type"), "weight"))
 
 
+@query(f"WITH m AS ({O['prf_micro']}), k AS (SELECT count(*) AS n FROM lineitem) SELECT n, f, n >= 100 AND f >= 0.9 AS ready, CASE WHEN n < 100 THEN 'too_few_cases' WHEN f < 0.9 THEN 'not_accurate' ELSE 'ready' END AS reason FROM m, k")
+def benchmark_readiness(s, d):
+    """Whether a benchmark has cases enough, and the predictions are right often enough."""
+    m = prf_micro(s, d)
+    n = table(s, d, "lineitem").agg(F.count("*").alias("n"))
+    x = s.sql("SELECT (SELECT n FROM {n}) AS n, f FROM {m}", n=n, m=m)
+    reason = F.when(F.col("n") < 100, "too_few_cases").when(F.col("f") < 0.9, "not_accurate").otherwise("ready")
+    return x.select("n", "f", ((F.col("n") >= 100) & (F.col("f") >= 0.9)).alias("ready"), reason.alias("reason"))
+
+
 QUERIES, ORACLE = Q, O

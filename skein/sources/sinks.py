@@ -54,3 +54,16 @@ def record_run(spark: SparkSession, path: str, run_id: str, step: str, status: s
     line = spark.createDataFrame([(run_id, step, status, rows, at)], "run_id string, step string, status string, n_rows bigint, at string")
     line.write.mode("append").parquet(path)
     return spark.read.parquet(path)
+
+
+def guarded(declared: DataFrame, recomputed: DataFrame, path: str, key: list[str]) -> DataFrame:
+    """Upsert ``declared`` if it is exactly what was recomputed from the raw evidence, repeats included; else an exception and no change."""
+    columns = sorted(declared.columns)
+    if sorted(recomputed.columns) != columns:
+        raise ValueError("the columns differ")
+    a, b = declared.select(*columns), recomputed.select(*columns)
+    both = a.withColumn("__d", F.lit(1)).unionByName(b.withColumn("__d", F.lit(-1)))
+    # One aggregation instead of two set differences.
+    if not both.groupBy(*columns).agg(F.sum("__d").alias("__d")).where("__d <> 0").isEmpty():
+        raise ValueError("what was declared is not what the evidence gives")
+    return upsert(declared, path, key)

@@ -77,3 +77,11 @@ def test_excerpts(spark):
     text = "a" * 300 + "kafka" + "b" * 300 + "docker kafka" + "c" * 300
     at = run(spark, lambda c: fields.excerpt_at(c, ["kafka", "docker"], 100), [text, "short", "z" * 500, None])
     assert text[at[0] - 1 : at[0] + 99].count("kafka") == 1 and "docker" in text[at[0] - 1 : at[0] + 99] and at[1:3] == [1, 1]
+
+
+def test_hidden_json(spark):
+    pages = {
+        '<input type="hidden" id="rows" value="[{&quot;a&quot;: &quot;x &amp; y&quot;}]">': '[{"a": "x & y"}]', "<form><INPUT name='rows' type=hidden value='{\"a\": 1}'/></form>": '{"a": 1}',
+        '<input type="text" id="rows" value="{}">': None, '<input type="hidden" id="rows" value="{broken">': None, '<input type="hidden" id="rows2" value="{}">': None, "": None, None: None,
+    }
+    assert dict(zip(pages, run(spark, lambda c: fields.hidden_json(c, "rows"), list(pages)))) == pages

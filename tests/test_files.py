@@ -95,3 +95,13 @@ def test_sinks(spark, tmp_path):
         sinks.write_graph(nodes.limit(0), edges, f"file://{tmp_path}/g2")
     sinks.record_run(spark, f"file://{tmp_path}/runs", "r1", "gate", "done", 5, "2026-01-01")
     assert sinks.record_run(spark, f"file://{tmp_path}/runs", "r1", "profiles", "done", 7, "2026-01-01").count() == 2
+
+
+def test_guarded_commit(spark, tmp_path):
+    df = spark.createDataFrame([("a", 1), ("b", None)], "k string, n int")
+    at = f"file://{tmp_path}/g"
+    assert sinks.guarded(df, df.select("n", "k").orderBy("k"), at, ["k"]).count() == 2
+    for other in (df.limit(1), df.unionByName(df), df.withColumn("n", F.lit(2)), df.drop("n")):
+        with pytest.raises(ValueError):
+            sinks.guarded(df, other, at, ["k"])
+    assert sinks.versions(spark, at) == [1]
