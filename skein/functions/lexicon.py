@@ -75,16 +75,25 @@ def relation(have: str, want: str) -> str:
 
 def mentions(text: Column, before: int = 18, after: int = 24) -> Column:
     """array<struct(name, category, alias, pos, evidence, requirement, confidence)>: each skill that a text names, by its
-    earliest spelling, the longer one on a tie, with the text around it."""
-    low = F.lower(text)
-    hit = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(k).alias("category"), F.lit(a).alias("alias"), F.instr(low, a).alias("pos")) for n, k, a in ALIASES])
-    found = F.filter(hit, lambda x: x["pos"] > 0)
-    better = lambda x: F.filter(found, lambda y: (y["name"] == x["name"]) & ((y["pos"] < x["pos"]) | ((y["pos"] == x["pos"]) & (F.length(y["alias"]) > F.length(x["alias"])))))
-    best = F.filter(found, lambda x: F.size(better(x)) == 0)
-    start = lambda x: F.greatest(F.lit(1), x["pos"] - before)
-    around = lambda x: F.trim(F.substring(text, start(x), x["pos"] + F.length(x["alias"]) + after - start(x)), F.lit(" \t\n\r"))
-    wish = lambda x: F.lower(around(x)).rlike("|".join(PREFERRED))
-    return F.transform(best, lambda x: F.struct(
-        x["name"].alias("name"), x["category"].alias("category"), x["alias"].alias("alias"), x["pos"].alias("pos"), around(x).alias("evidence"),
-        F.when(wish(x), "preferred").otherwise("required").alias("requirement"), F.when(x["alias"] == F.lower(x["name"]), 0.92).otherwise(0.86).alias("confidence"),
-    ))
+    earliest spelling, the longer one on a tie, with the text around it; empty for a null text.
+
+    The text is lowered once, as the variable of a one-element transform, and each skill takes the least of its own spellings.
+    """
+
+    def first(low: Column, aliases: list[str]) -> Column:
+        at = [F.instr(low, a) for a in aliases]
+        return F.array_min(F.array_compact(F.array(*[F.when(p > 0, F.struct(p.alias("pos"), F.lit(-len(a)).alias("minus"), F.lit(a).alias("alias"))) for p, a in zip(at, aliases, strict=True)])))
+
+    def of(d: Column) -> Column:
+        hits = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(k).alias("category"), first(d["low"], aliases).alias("m")) for n, (k, aliases) in SKILLS.items()])
+        found = F.filter(hits, lambda x: x["m"].isNotNull())
+        start = lambda x: F.greatest(F.lit(1), x["m"]["pos"] - before)
+        around = lambda x: F.trim(F.substring(d["text"], start(x), x["m"]["pos"] - x["m"]["minus"] + after - start(x)), F.lit(" \t\n\r"))
+        with_text = F.transform(found, lambda x: F.struct(x["name"].alias("name"), x["category"].alias("category"), x["m"].alias("m"), around(x).alias("evidence")))
+        return F.transform(with_text, lambda x: F.struct(
+            x["name"].alias("name"), x["category"].alias("category"), x["m"]["alias"].alias("alias"), x["m"]["pos"].alias("pos"), x["evidence"].alias("evidence"),
+            F.when(F.lower(x["evidence"]).rlike("|".join(PREFERRED)), "preferred").otherwise("required").alias("requirement"),
+            F.when(x["m"]["alias"] == F.lower(x["name"]), 0.92).otherwise(0.86).alias("confidence"),
+        ))
+
+    return F.transform(F.array(F.struct(text.alias("text"), F.lower(text).alias("low"))), of)[0]
