@@ -245,7 +245,9 @@ def named(text: Column, term: str, negations: bool = True) -> Column:
     trail = "(?![a-z0-9])" if re.search("[a-z0-9]$", t) else ""
     # A look-behind of bounded length holds the negation and the signs that may join it to the term.
     no = rf"(?<!(?:{NEGATIONS})[\s、/和与及的]{{0,12}})" if negations else ""
-    return text.rlike(f"{no}{lead}{re.escape(t)}{trail}")
+    # Looking ahead first, so that what stands before is looked at only where the term begins.
+    word = re.escape(t)
+    return text.rlike(f"(?={word}){no}{lead}{word}{trail}")
 
 
 def fenced_json(c: Column) -> Column:
