@@ -220,6 +220,36 @@ def test_appending_reopening_and_compacting_give_what_one_backlog_gives(spark, t
     assert got == want and {(r.row_id_a, r.row_id_b) for r in bulk.repeats().collect()} == want
 
 
+def test_repeats_appends_every_batch_to_history_and_compacts(spark, monkeypatch):
+    rng = random.Random(21)
+    rows = []
+    for b, no in enumerate((-5, 0, 7, 1_000_000, 20_231_231, 20_231_232)):
+        for k in range(12):
+            t = posting(rng.randrange(20))
+            t = t[: 230 - rng.randrange(10)] if rng.random() < 0.5 else t[:100] + posting(700 + len(rows))[:100]
+            rows.append((b * 100 + k, None if b == 0 and k % 2 else no, rng.choice([None, f"R{rng.randrange(40)}"]), rng.choice([t, t, None])))
+    taken, runs = [], []
+    append, compact = history.HistoryIndex.append, history.HistoryIndex.compact
+
+    def appended(self, batch):
+        taken.append({r.row_id // 100 for r in batch.select("row_id").collect()})
+        return append(self, batch)
+
+    def compacted(self):
+        before = len(self.state["runs"])
+        compact(self)
+        runs.append((before, len(self.state["runs"])))
+
+    monkeypatch.setattr(history.HistoryIndex, "append", appended)
+    monkeypatch.setattr(history.HistoryIndex, "compact", compacted)
+    df = spark.createDataFrame(rows, "row_id bigint, batch_no int, record_id string, description string")
+    got = {(r.row_id_a, r.row_id_b) for r in history.repeats(df).collect()}
+    assert got == brute_repeats(rows)
+    assert taken == [{b} for b in range(6)] and runs == [(1, 1), (2, 2), (3, 3), (4, 1), (2, 2), (3, 3)]
+    taken.clear()
+    assert {(r.row_id_a, r.row_id_b) for r in history.repeats(df, appends=2).collect()} == got and taken == [{0, 1, 2}, {3, 4, 5}]
+
+
 def test_crowded_shingles_name_no_lane():
     least = np.array([[1, 2, 3, 4, 5, 6], [1, 2, 3, -1, -1, -1], [1, 2, 7, 8, 9, 10], [1, 2, -1, -1, -1, -1], [1, 2, 3, 4, 5, 6]], np.int64)
     lanes = history.lanes_of(least, np.array([1, 2], np.int64))
@@ -293,6 +323,20 @@ def test_first_rows(spark):
     assert got == {5: 1, 4: 1, 3: 1, 7: 6, 8: 6, 9: 6} | {k: 19 for k in range(20, 60)}
 
 
+def test_first_rows_of_few_and_of_many_edges(spark, monkeypatch):
+    rng = random.Random(8)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)]
+    df = spark.createDataFrame(edges, "row_id bigint, other bigint")
+    few = {r.row_id: r["first"] for r in history.first_rows(df).collect()}
+    assert history.first_rows(df.limit(0)).count() == 0
+    monkeypatch.setattr(history, "FEW", -1)
+    first = {x: x for e in edges for x in e}
+    for _ in first:
+        for a, b in edges:
+            first[a] = first[b] = min(first[a], first[b])
+    assert few == {r.row_id: r["first"] for r in history.first_rows(df).collect()} == {x: f for x, f in first.items() if f != x}
+
+
 def test_sentence_probes_and_linear_time():
     import time
 
