@@ -317,6 +317,51 @@ def test_a_row_behind_nearer_ones_is_still_a_candidate():
     assert set(met["other"]) == {*range(7), 1199}
 
 
+def test_lanes_of_a_shard_are_compared_whole_and_only_the_large_ones_have_a_graph(monkeypatch):
+    import pandas as pd
+
+    rng = np.random.default_rng(6)
+    lane = np.repeat([5, 9, -3, 40], [1, 20, 700, 180])
+    sig = rng.integers(0, 2**64, (len(lane), 4), dtype=np.uint64)
+    for k in range(0, len(lane), 3):  # near rows, of their own lane and of others
+        sig[k] = sig[rng.integers(0, len(lane))] ^ np.array([1 << int(b) for b in rng.integers(0, 64, 4)], np.uint64)
+    order = rng.permutation(len(lane))
+    lane, sig, row_id = lane[order], sig[order], np.arange(len(lane))
+    bits = np.bitwise_count(sig[:, None] ^ sig[None]).sum(2, dtype=int)
+    near = {(a, b) for a, b in zip(*np.nonzero((bits <= history.BITS) & (lane[:, None] == lane[None])), strict=True) if a != b}
+    pdf = pd.DataFrame({"bucket": 0, "segment": 0, "segments": 1, "lane": lane, "row_id": row_id} | {f"s{k}": sig.view(np.int64)[:, k] for k in range(4)})
+    later = history.pack(row_id + 10_000, lane, sig, np.empty(0, np.int32))
+    for exact, graphed in ((4096, 0), (600, 700)):
+        monkeypatch.setattr(history, "EXACT", exact)
+        out = history.build(pdf)
+        got = list(zip(out["row_id"].iloc[1:].astype(int), out["other"].iloc[1:].astype(int), strict=True))
+        met = pd.concat(history.visit(iter([pd.DataFrame({"shard": [out["shard"].iloc[0]], "later": [later]})])))
+        seen = set(zip(met["row_id"] - 10_000, met["other"], strict=True))
+        assert len(history.unpack(out["shard"].iloc[0])[4]) == graphed
+        merged = history.build(pdf, pairs=False)
+        assert merged["shard"].tolist() == [out["shard"].iloc[0]] and merged["row_id"].isna().all()
+        if not graphed:
+            assert len(got) == len(set(got)) and set(got) == {(a, b) for a, b in near if b < a}
+            assert seen == near | {(r, r) for r in row_id}
+        else:
+            small = {(a, b) for a, b in near if lane[a] != -3}
+            assert {(a, b) for a, b in got if lane[a] != -3} == {(a, b) for a, b in small if b < a} and set(got) <= near
+            assert {(a, b) for a, b in seen if a != b and lane[a] != -3} == small and len(seen) >= 0.98 * len(near | {(r, r) for r in row_id})
+
+
+def test_placed_rows_are_packed_by_bucket(spark):
+    rng = np.random.default_rng(8)
+    least = np.sort(rng.integers(1, 2**62, (3000, history.KEYS)), 1)
+    least[:2900, 0] = 1
+    rows = [(k, bytearray(x.tobytes()), k, -k, 0, 7) for k, x in enumerate(least)]
+    signed = spark.createDataFrame(rows, history.SIGNED).coalesce(1)
+    placed = history.place(signed, np.empty(0, np.int64), 5).collect()
+    got = [(r.bucket, int(x[1]), int(x[0]), *map(int, x[2:])) for r in placed for x in history.opened([r.packed])]
+    assert all(r.n == len(history.opened([r.packed])) <= history.BUCKET for r in placed) and len({b for b, *_ in got}) == 5
+    assert sorted((lane, k, *s) for _, lane, k, *s in got) == sorted((int(x), k, k, -k, 0, 7) for k, row in enumerate(least) for x in row[: history.LANES])
+    assert len({(b, lane) for b, lane, *_ in got}) == len({lane for _, lane, *_ in got})
+
+
 def test_first_rows(spark):
     edges = [(5, 4), (4, 3), (9, 8), (3, 1), (8, 7), (7, 6), (6, 9), (2, 2)] + [(k, k - 1) for k in range(20, 60)]
     got = {r.row_id: r["first"] for r in history.first_rows(spark.createDataFrame(edges, "row_id bigint, other bigint")).collect()}
